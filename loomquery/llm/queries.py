@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, sharding, warc
+from . import decontaminate, license_scan, mpeg_audio, packing, sharding, warc
+from .common import durable
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,47 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "leak.n_words", "leak.n_hit",
+        F.size("leak.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("leak.items", ",").cast("binary"), 256).alias("items_sha256"),
+        "leak.contaminated",
+    )
+
+
+def tokenizer_path() -> str:
+    """Place of the public tokenizer that the packing query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces packed in sequences of at most 2048."""
+    parts = packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+    return packing.pack(parts, capacity=2048)
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an MPEG audio stream, then parsed from the stored bytes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    stored = durable(mpeg_audio.encode(docs).select("doc_id", n_bytes.alias("n_bytes"), "media"), "media")
+    read = mpeg_audio.decode(stored, offsets=True).select("doc_id", "n_bytes", "audio.*")
+    feature = F.concat_ws(
+        ";",
+        *(F.concat(F.lit(f"{name}="), F.col(name).cast("string")) for name in ("frames", "samples", "duration_us", "crc_ok", "crc_bad", "skipped", "vbr", "table")),
+        F.concat(F.lit("last_frame_at="), F.element_at("offsets", -1).cast("string")),
+    )
+    return read.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
+    )
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     read = warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_revisit_bytes=0)
@@ -43,7 +85,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op3_decontamination": op3_decontamination,
+    "op4_packing": op4_packing,
     "op6_warc": op6_warc,
+    "op7_media_columns": op7_media_columns,
     "op10_sharding": op10_sharding,
 }
 
