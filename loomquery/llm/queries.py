@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, mpeg_audio, packing, sharding, warc
-from .common import durable
+from . import decontaminate, language_id, license_scan, mpeg_audio, packing, quality, sharding, toxicity, warc
+from .common import durable, id_remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,31 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs, hold_out=(4, 2))
+    held_out = (id_remainder("doc_id", 4) == 2).alias("held_out")
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out, F.col("language.lang").alias("lang_pred"), "language.score", "language.langs")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), hold_out=(5, 0))
+    found = toxicity.score(docs, model, threshold=0.5)
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), hold_out=(5, 0))
+    found = quality.score(docs, model, threshold=0.3)
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "quality_score.score", "quality_score.predicted")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written as a WARC record and read back."""
     read = warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_revisit_bytes=0)
@@ -87,8 +112,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_language_id": op5_language_id,
     "op6_warc": op6_warc,
     "op7_media_columns": op7_media_columns,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_sharding": op10_sharding,
 }
 
