@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mpeg_audio, packing, quality, sharding, toxicity, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, mpeg_audio, packing, quality, sharding, toxicity, warc
 from .common import durable, id_remainder
 
 
@@ -28,6 +28,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.85."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), words=4)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,6 +115,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
     "op5_language_id": op5_language_id,
