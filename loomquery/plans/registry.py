@@ -1,6 +1,442 @@
-"""Registered queries: name -> callable, and name -> DuckDB SQL."""
+"""Registered queries: name -> callable(spark, sf_dir), and name -> DuckDB SQL of the same result."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import vectors as vx
+from ..operators import bm25, cascade, knn, metrics, neural, projection, ranking, rptree, tfidf
+from ..sources import corpus as io
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Query texts, and the language of the documents that count as relevant to each.
+ASKED = {1: "thention heating rendered", 2: "annd oneath haing", 3: "enlichungen keit", 4: "menteux aile relle", 5: "mente ciónrado ezas"}
+LANGS = {1: "en", 2: "en", 3: "de", 4: "fr", 5: "es"}
+ONE = ASKED[1]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ASKED.items()), "query_id long, query string")
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL where SQL can express it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(column: str, places: int = 6):
+    return F.round(column, places).alias(column)
+
+
+# SQL parts -----------------------------------------------------------------
+
+
+def _values(rows) -> str:
+    return "values " + ", ".join(f"({', '.join(repr(x) for x in r)})" for r in rows)
+
+
+_STEM_ROWS = _values([(q, s) for q, t in ASKED.items() for s in tx.stems_of(t)])
+_ASKED_ROWS = _values(ASKED.items())
+
+
+def _bm25_sql(k1: float = 1.5, b: float = 0.75) -> str:
+    """Common table expressions up to ``s(query_id, doc_id, score)`` of all queries and documents."""
+    return f"""
+with q as (select * from ({_STEM_ROWS}) v(query_id, stem)),
+l as (select doc_id, t, length(t) - length(replace(t, ' ', '')) + 1 as dl from (select doc_id, lower(coalesce(text, '')) as t from documents) d),
+c as (select count(*) as n, avg(dl) as avgdl from l),
+tf as (select doc_id, stem, dl, (length(t) - length(replace(t, stem, ''))) / length(stem) as tf from l cross join (select distinct stem from q) u),
+df as (select stem, sum(case when tf > 0 then 1 else 0 end) as df from tf group by stem),
+p as (select doc_id, stem, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl)) as part
+      from tf join df using (stem) cross join c),
+s as (select query_id, doc_id, sum(part) as score from p join q using (stem) group by query_id, doc_id)"""
+
+
+_TOP = "row_number() over (partition by query_id order by score desc, doc_id)"
+_RESULTS = f"""{_bm25_sql()},
+res as (select query_id, {_TOP} as rank, doc_id from s where score > 0 qualify {_TOP} <= 100),
+lang as (select * from ({_values(LANGS.items())}) v(query_id, lang)),
+qr as (select query_id, d.doc_id from documents d join labels b using (doc_id) join lang using (lang) where quality = 1),
+nr as (select query_id, count(*) as n_rel from qr group by query_id),
+j as (select lang.query_id, rank, case when qr.doc_id is null then 0 else 1 end as rel, coalesce(n_rel, 0) as n_rel
+      from lang left join nr using (query_id) left join res using (query_id) left join qr on qr.query_id = res.query_id and qr.doc_id = res.doc_id)"""
+_NDCG = (
+    "case when max(n_rel) = 0 then 0.0 else sum(case when rank <= 10 and rel = 1 then 1 / log2(rank + 1) else 0 end) / "
+    "list_sum(list_transform(range(1, least(max(n_rel), 10) + 1), lambda i: 1 / log2(i + 1))) end"
+)
+_HITS = "sum(case when rank <= {k} then rel else 0 end)"
+
+
+def _metric_sql(name: str, expression: str) -> str:
+    return f"{_RESULTS} select query_id::bigint as query_id, round({expression}, 6) as {name} from j group by query_id"
+
+
+# Lexical -------------------------------------------------------------------
+
+
+@query(f"{_bm25_sql()} select {_TOP} as rank, doc_id as index, round(score, 6) as score from s where query_id = 1 and score > 0 qualify {_TOP} <= 10")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(_docs(spark, sf_dir), ONE, 10).select("rank", "index", _r("score"))
+
+
+@query(f"{_bm25_sql()} select query_id::bigint as query_id, {_TOP} as rank, doc_id as index, round(score, 6) as score from s where score > 0 qualify {_TOP} <= 10")
+def bm25_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.batch_search(_docs(spark, sf_dir), ASKED, 10).select("query_id", "rank", "index", _r("score"))
+
+
+@query(f"{_bm25_sql()} select doc_id as index, round(score, 6) as score from s where query_id = 1")
+def bm25_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.scores(_docs(spark, sf_dir), ONE).select("index", _r("score"))
+
+
+@query(
+    f"""with t as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as token from documents)
+select token, {tx.stem_sql('token')} as stem from t where length(token) >= 2"""
+)
+def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _docs(spark, sf_dir).select(F.explode(tx.query_tokens("document")).alias("token")).distinct()
+    return tokens.select("token", tx.stem("token").alias("stem"))
+
+
+@query(f"{_bm25_sql()} select stem, df::bigint as df from df where stem in (select stem from q where query_id = 1)")
+def term_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.document_frequencies(_docs(spark, sf_dir), ONE).select("stem", "df")
+
+
+@query(
+    f"{_bm25_sql()} select stem, n::bigint as n, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from df cross join c where stem in (select stem from q where query_id = 1)"
+)
+def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.document_frequencies(_docs(spark, sf_dir), ONE).select("stem", "n", _r("idf"))
+
+
+@query(
+    """with l as (select length(text) - length(replace(text, ' ', '')) + 1 as dl from documents)
+select count(*) as n, round(avg(dl), 6) as avgdl, min(dl)::bigint as min_dl, max(dl)::bigint as max_dl from l"""
+)
+def doc_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dl = _docs(spark, sf_dir).select(tx.space_length("document").alias("dl"))
+    return dl.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.min("dl").cast("long").alias("min_dl"), F.max("dl").cast("long").alias("max_dl")
+    )
+
+
+@query(
+    """select doc_id as index, ((length(t) - length(replace(t, 'then', ''))) / 4)::bigint as tf
+from (select doc_id, lower(text) as t from documents) d"""
+)
+def substring_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("index", tx.substring_tf(F.lower("document"), "then").cast("long").alias("tf"))
+
+
+@query(
+    f"""select query_id::bigint as query_id, u.pos::bigint as pos, u.token as token from ({_ASKED_ROWS}) v(query_id, query),
+lateral (select unnest(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: length(x) >= 2)) as token,
+         generate_subscripts(list_filter(regexp_split_to_array(lower(query), '[^a-z0-9]+'), lambda x: length(x) >= 2), 1) - 1 as pos) u"""
+)
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark).select("query_id", F.posexplode(tx.query_tokens("query")).alias("pos", "token")).select("query_id", F.col("pos").cast("long").alias("pos"), "token")
+
+
+@query(
+    f"""with t as (select query_id, unnest(regexp_split_to_array(lower(query), '[^a-z0-9]+')) as token from ({_ASKED_ROWS}) v(query_id, query))
+select distinct query_id::bigint as query_id, {tx.stem_sql('token')} as stem from t where length(token) >= 2"""
+)
+def distinct_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark).select("query_id", F.explode(tx.query_stems("query")).alias("stem"))
+
+
+# TF-IDF --------------------------------------------------------------------
+
+_TFIDF = """with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) as term from documents where regexp_matches(text, '\\S')),
+tc as (select doc_id, term, count(*) as tf from w group by doc_id, term),
+v as (select term, df from (select term, sum(tf) as cf, count(*) as df from tc group by term) order by cf desc, term limit 5000),
+n as (select count(*) as n from documents where regexp_matches(text, '\\S')),
+i as (select term, ln((1 + n) / (1 + df)) + 1 as idf from v cross join n),
+r as (select doc_id, term, (1 + ln(tf)) * idf as w from tc join i using (term)),
+m as (select doc_id, sqrt(sum(w * w)) as norm from r group by doc_id)"""
+
+
+@query(f"{_TFIDF} select doc_id as index, term, round(w / greatest(norm, 1e-10), 6) as weight from r join m using (doc_id)")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.weights(_docs(spark, sf_dir)).select("index", "term", _r("weight"))
+
+
+@query(
+    f"""{_TFIDF},
+qt as (select term, count(*) as tf from (select unnest(regexp_extract_all(lower('the onre {ONE} and'), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term) group by term),
+qw as (select term, (1 + ln(tf)) * idf as qw from qt join i using (term)),
+d as (select doc_id, sum(w * coalesce(qw, 0)) / greatest(sqrt(sum(w * w)) * (select sqrt(sum(qw * qw)) from qw), 1e-10) as score from r left join qw using (term) group by doc_id),
+a as (select doc_id, coalesce(score, 0) as score from (select doc_id from documents where regexp_matches(text, '\\S')) left join d using (doc_id))
+select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from a qualify rank <= 10"""
+)
+def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tfidf.search(_docs(spark, sf_dir), f"the onre {ONE} and", 10).select("rank", "index", _r("score"))
+
+
+# Vectors -------------------------------------------------------------------
+
+_COS = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / greatest(a.n * b.n, 1e-10)"
+_VECS = """with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+x as (select *, sqrt(list_sum(list_transform(v, lambda y: y * y))) as n from e)"""
+
+
+@query(f"{_VECS} select vec_id, round(n, 6) as norm from x")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.round(vx.norm("embedding"), 6).alias("norm"))
+
+
+@query(
+    f"""{_VECS}, s as (select a.vec_id, {_COS} as score from x a cross join (select * from x order by vec_id limit 1) b)
+select row_number() over (order by score desc, vec_id) as rank, vec_id as index, round(score, 6) as score from s qualify rank <= 10"""
+)
+def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    first = table.agg(F.min_by("embedding", "vec_id").alias("q")).first()["q"]
+    return knn.search(table, first, 10).select("rank", "index", _r("score"))
+
+
+_KNN = f"""{_VECS}, s as (select b.vec_id as query_id, b.label as query_label, a.vec_id, a.label, {_COS} as score from x a cross join (select * from x where vec_id % 50 = 0) b),
+k as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 10)"""
+
+
+def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    asked = table.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return knn.batch_search(table, asked, 10)
+
+
+@query(f"{_KNN} select query_id, rank, vec_id as index, round(score, 6) as score from k")
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn(spark, sf_dir).select("query_id", "rank", "index", _r("score"))
+
+
+@query(f"{_KNN} select query_id, round(avg(case when label = query_label then 1.0 else 0.0 end), 6) as same_label from k group by query_id")
+def knn_same_label_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    found = _knn(spark, sf_dir)
+    own = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
+    near = labels.select(F.col("vec_id").alias("index"), "label")
+    same = F.when(F.col("label") == F.col("query_label"), 1.0).otherwise(0.0)
+    return found.join(near, "index").join(own, "query_id").groupBy("query_id").agg(F.round(F.avg(same), 6).alias("same_label"))
+
+
+@query("select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.6f', x::double)), ',') || ']' as literal from embeddings")
+def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select("vec_id", vx.text_literal("embedding").alias("literal"))
+
+
+@query(
+    """with e as (select vec_id, list_sum(list_transform(list_zip(embedding, range(1, len(embedding) + 1)), lambda z: z[1]::double * case when z[2] % 2 = 1 then 1 else -1 end)) as p from embeddings),
+m as (select median(p) as threshold from e)
+select vec_id, case when p <= threshold then 'left' else 'right' end as side from e cross join m"""
+)
+def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = F.transform("embedding", lambda x, i: x.cast("double") * F.when(i % 2 == 0, 1).otherwise(-1))
+    p = _table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(signed, F.lit(0.0), lambda s, x: s + x).alias("p"))
+    split = p.crossJoin(F.broadcast(p.agg(F.median("p").alias("threshold"))))  # one row
+    return split.select("vec_id", F.when(F.col("p") <= F.col("threshold"), "left").otherwise("right").alias("side"))
+
+
+# Scores and candidates -----------------------------------------------------
+
+
+@query(
+    f"""{_bm25_sql()}, o as (select doc_id, score from s where query_id = 1), m as (select min(score) as lo, max(score) as hi from o)
+select doc_id as index, round(case when hi - lo < 1e-12 then 0.5 else (score - lo) / (hi - lo) end, 6) as score from o cross join m"""
+)
+def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.min_max(bm25.scores(_docs(spark, sf_dir), ONE), "score").select("index", _r("score"))
+
+
+@query(
+    f"""{_bm25_sql()}, o as (select doc_id, score as a, dl::double as b from s join l using (doc_id) where query_id = 1),
+m as (select min(a) as la, max(a) as ha, min(b) as lb, max(b) as hb from o),
+f as (select doc_id, 0.3 * (b - lb) / (hb - lb) + 0.7 * (a - la) / (ha - la) as score from o cross join m)
+select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from f qualify rank <= 10"""
+)
+def fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, by_query = bm25.score_columns(_docs(spark, sf_dir), {1: ONE})
+    both = ranking.min_max(wide.select("index", by_query[1].alias("a"), F.col("dl").cast("double").alias("b")), "a", "b")
+    fused = both.select("index", ranking.fused(F.col("b"), F.col("a"), 0.3).alias("score"))
+    return ranking.top_k(fused, 10).select("rank", "index", _r("score"))
+
+
+@query(
+    f"""{_bm25_sql()}, t as (select query_id, doc_id, score from s where query_id in (1, 2) and score > 0 qualify {_TOP} <= 200),
+u as (select doc_id, max(score) as score, min(query_id) - 1 as origin from t group by doc_id)
+select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score, origin::int as origin from u qualify rank <= 50"""
+)
+def candidate_union_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    both = ranking.union_max(bm25.search(docs, ASKED[1], 200), bm25.search(docs, ASKED[2], 200))
+    return ranking.top_k(both, 50).select("rank", "index", _r("score"), "origin")
+
+
+@query("select count(*) as n, greatest(50, least(count(*) // 20, 500))::bigint as candidates from documents")
+def cascade_k_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _docs(spark, sf_dir).count()
+    return spark.createDataFrame([(n, ranking.candidate_count(n))], "n long, candidates long")
+
+
+def _projection(spark: SparkSession, sf_dir: str):
+    docs = _docs(spark, sf_dir)
+    return docs, projection.train_on(docs)
+
+
+@query()
+def sps_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.search(*_reorder(_projection(spark, sf_dir)), 10)
+
+
+def _reorder(pair):
+    docs, w = pair
+    return docs, ONE, w
+
+
+@query()
+def cascade_skip_neural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.search(*_reorder(_projection(spark, sf_dir)), top_k=10, skip_neural=True)
+
+
+@query()
+def cascade_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.search(*_reorder(_projection(spark, sf_dir)), top_k=10)
+
+
+@query()
+def cross_encoder_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.search_v2(*_reorder(_projection(spark, sf_dir)), top_k=10)
+
+
+@query()
+def neural_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neural.search(_docs(spark, sf_dir), ONE, 10)
+
+
+@query()
+def rptree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rptree.search(_docs(spark, sf_dir), f"the onre {ONE} and", 10)
+
+
+# Records -------------------------------------------------------------------
+
+
+@query(
+    """with d as (select p_partkey, lower(concat_ws(' ', coalesce(p_name, ''), coalesce(p_brand, ''), coalesce(p_type, ''))) as t from part),
+l as (select p_partkey, t, length(t) - length(replace(t, ' ', '')) + 1 as dl from d), c as (select count(*) as n, avg(dl) as avgdl from l),
+tf as (select p_partkey, stem, dl, (length(t) - length(replace(t, stem, ''))) / length(stem) as tf from l cross join (values ('brand'), ('12')) q(stem)),
+df as (select stem, sum(case when tf > 0 then 1 else 0 end) as df from tf group by stem),
+s as (select p_partkey, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from tf join df using (stem) cross join c group by p_partkey)
+select row_number() over (order by score desc, p_partkey) as rank, p_partkey as index, round(score, 6) as score, p_name, p_brand
+from s join part using (p_partkey) where score > 0 qualify rank <= 10"""
+)
+def object_concat_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    corpus = part.select(F.col("p_partkey").alias("index"), tx.concat_fields("p_name", "p_brand", "p_type").alias("document"))
+    found = bm25.search(corpus, "brand 12", 10)
+    rows = part.select(F.col("p_partkey").alias("index"), "p_name", "p_brand")
+    return rows.join(F.broadcast(found), "index").select("rank", "index", _r("score"), "p_name", "p_brand")
+
+
+@query(
+    f"""{_bm25_sql()} select '{{"index":' || doc_id || ',"score":' || round(score, 4)::varchar || '}}' as value from s where query_id = 1 and score > 0 qualify {_TOP} <= 10"""
+)
+def json_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.result_json(bm25.search(_docs(spark, sf_dir), ONE, 10).select("index", "score"))
+
+
+# Quality -------------------------------------------------------------------
+
+
+def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = spark.createDataFrame(list(LANGS.items()), "query_id long, lang string")
+    good = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.join(good, "doc_id").join(F.broadcast(lang), "lang").select("query_id", F.col("doc_id").alias("index"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = bm25.batch_search(_docs(spark, sf_dir), ASKED, 100)
+    return metrics.judged(results, _qrels(spark, sf_dir), _asked(spark)).groupBy("query_id")
+
+
+@query(_metric_sql("ndcg_10", _NDCG))
+def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(F.round(metrics.ndcg_at(10), 6).alias("ndcg_10"))
+
+
+@query(_metric_sql("mrr", "coalesce(1.0::double / min(case when rel = 1 then rank end), 0.0::double)"))
+def mrr_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(F.round(metrics.mrr(), 6).alias("mrr"))
+
+
+@query(_metric_sql("recall_10", f"coalesce({_HITS.format(k=10)}::double / nullif(max(n_rel), 0), 0.0::double)"))
+def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(F.round(metrics.recall_at(10), 6).alias("recall_10"))
+
+
+@query(_metric_sql("recall_100", f"coalesce({_HITS.format(k=100)}::double / nullif(max(n_rel), 0), 0.0::double)"))
+def recall_at_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(F.round(metrics.recall_at(100), 6).alias("recall_100"))
+
+
+@query(_metric_sql("precision_10", f"{_HITS.format(k=10)} / 10.0::double"))
+def precision_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(F.round(metrics.precision_at(10), 6).alias("precision_10"))
+
+
+@query(_metric_sql("hit_rate_10", "max(case when rank <= 10 and rel = 1 then 1.0::double else 0.0::double end)"))
+def hit_rate_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).agg(F.round(metrics.hit_rate_at(10), 6).alias("hit_rate_10"))
+
+
+def _board(strategy: str, b: float) -> str:
+    body = _RESULTS.replace(_bm25_sql(), _bm25_sql(1.5, b)).strip().removeprefix("with")
+    return (
+        f"select * from (with {body} select '{strategy}' as strategy, {_NDCG} as ndcg_10, "
+        f"coalesce({_HITS.format(k=10)}::double / nullif(max(n_rel), 0), 0) as recall_10 from j group by query_id)"
+    )
+
+
+@query(
+    f"""select strategy, round(avg(ndcg_10), 6) as ndcg_10, round(avg(recall_10), 6) as recall_10
+from ({_board('bm25', 0.75)} union all {_board('bm25_no_length', 0.0)}) group by strategy"""
+)
+def strategy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, qrels, asked = _docs(spark, sf_dir), _qrels(spark, sf_dir), _asked(spark)
+    rows = None
+    for name, b in (("bm25", 0.75), ("bm25_no_length", 0.0)):
+        part = metrics.evaluate(bm25.batch_search(docs, ASKED, 100, b=b), qrels, asked).withColumn("strategy", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    return metrics.leaderboard(rows).select("strategy", _r("ndcg_10"), _r("recall_10"))
+
+
+@query(
+    """with o as (select user_id, value, row_number() over (partition by user_id order by value) - 1 as i, count(*) over (partition by user_id) as n from events)
+select user_id, max(case when i = n // 2 then value end) as p50, max(case when i = least(n - 1, floor(n * 0.95)::bigint) then value end) as p95 from o group by user_id"""
+)
+def latency_position_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_user = _table(spark, sf_dir, "events").groupBy("user_id")
+    return by_user.agg(metrics.position_percentile("value", 0.5).alias("p50"), metrics.position_percentile("value", 0.95).alias("p95"))
