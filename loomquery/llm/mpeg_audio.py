@@ -202,15 +202,23 @@ def _vbr_table(frame: bytes, h: Header) -> dict | None:
     return None
 
 
+def _kind(h: Header) -> tuple[int, int, int, int]:
+    return h.version, h.layer, h.rate, h.channels
+
+
+def _followed(data: bytes, at: int, h: Header, end: int) -> bool:
+    """Whether the frame is followed by a header of its kind, or by the end."""
+    after = at + h.length
+    follower = header(data[after : after + 4])
+    return after >= end - 4 or follower is not None and _kind(follower) == _kind(h)
+
+
 def _sync(data: bytes, at: int, end: int) -> int:
-    """The next place from ``at`` with a header that another header (or the end) follows; ``end`` if none."""
+    """The next place from ``at`` with a header that another of its kind (or the end) follows; ``end`` if none."""
     while (at := data.find(b"\xff", at, end)) >= 0:
         h = header(data[at : at + 4])
-        if h:
-            after = at + h.length
-            follower = header(data[after : after + 4])
-            if after >= end - 4 or follower and (follower.version, follower.layer, follower.rate) == (h.version, h.layer, h.rate):
-                return at
+        if h and _followed(data, at, h, end):
+            return at
         at += 1
     return end
 
@@ -228,7 +236,8 @@ def parse(data: bytes) -> Stream:
     first = True
     while at < end:
         h = header(data[at : at + 4])
-        if h is None:
+        # A frame in its expected place is taken if it is like the first one; anything else must be followed by its kind.
+        if h is None or not (found.headers and _kind(found.headers[0]) == _kind(h)) and not _followed(data, at, h, end):
             there = _sync(data, at + 1, end)
             found.skipped += there - at
             at = there
