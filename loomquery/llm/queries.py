@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mpeg_audio, packing, quality, sharding, toxicity, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, mpeg_audio, oracles, packing, quality, sharding, toxicity, warc
 from .common import durable, id_remainder
 
 
@@ -126,4 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": oracles.OP2,
+    "op3_decontamination": oracles.OP3,
+    "op6_warc": oracles.OP6,
+    "op10_sharding": oracles.OP10,
+}
