@@ -2,10 +2,10 @@
 
 Texts become token ids, documents longer than a sequence are cut, and the
 pieces are packed partition by partition with best-fit decreasing.  Dual
-feasible functions give a lower bound of each partition's bin count.  A
-partition that meets its bound is certified optimal and done; one with a gap
-releases its emptiest bins, which are exchanged with other such partitions and
-packed again.
+feasible functions give a lower bound of each partition's bin count and, from
+the counts of lengths, of the whole.  While the whole has a gap, the emptiest
+bins of all partitions are opened, exchanged between partitions and packed
+again; a partition keeps its new bins only if they are fewer.
 """
 
 from __future__ import annotations
@@ -184,17 +184,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
     return bins, offsets, np.asarray(fill, np.int64)
 
 
-def _released(fill: np.ndarray, gap: int, capacity: int) -> np.ndarray:
-    """Mask of the bins that a partition ``gap`` bins above its bound gives up: the emptiest, with room for more than the gap."""
-    out = np.zeros(len(fill), bool)
-    if gap > 0:
-        order = np.argsort(fill, kind="stable")
-        room = np.cumsum(capacity - fill[order])
-        out[order[: int(np.searchsorted(room, 2 * (gap + 1) * capacity)) + 1]] = True
-    return out & (fill < capacity)
-
-
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, certified boolean, open boolean"
+PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, certified boolean, fill long"
 
 
 def _pack(batches: Iterator[pa.RecordBatch], turn: int, rows: int, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -203,47 +193,63 @@ def _pack(batches: Iterator[pa.RecordBatch], turn: int, rows: int, capacity: int
     for k, table in enumerate(chunks(batches, 3 * rows if turn else rows)):
         lengths = table["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
-        gap = len(fill) - lower_bound(lengths, capacity)
-        ids = ((turn << 24 | task) << 16 | k) << 18
-        old = table["sequence_id"].to_numpy() if turn else None
-        if turn and len(np.unique(old)) < len(fill):  # the exchange did not help here
-            sequence, offsets, released = old, table["offset"].to_numpy(), np.zeros(len(old), bool)
-        else:
-            sequence, released = bins + ids, _released(fill, gap, capacity)[bins]
-        certified = np.full(len(bins), gap == 0)
+        certified = np.full(len(bins), len(fill) == lower_bound(lengths, capacity))
+        sequence, full = bins + (((turn << 24 | task) << 16 | k) << 18), fill[bins]
+        if turn:
+            old = table["sequence_id"].to_numpy()
+            if len(np.unique(old)) <= len(fill):  # the exchange did not help here
+                sequence, offsets, full = old, table["offset"].to_numpy(), table["fill"].to_numpy()
         base = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        for name, value in (("sequence_id", sequence), ("offset", offsets), ("certified", certified), ("open", released)):
+        for name, value in (("sequence_id", sequence), ("offset", offsets), ("certified", certified), ("fill", full)):
             base = base.append_column(name, pa.array(value))
         yield from base.combine_chunks().to_batches()
 
 
+def _opened(fills: dict[int, int], gap: int, share: int, capacity: int) -> int:
+    """The fill up to which bins are opened: their free room is at least ``share`` times what the gap needs."""
+    room = 0
+    for fill in sorted(f for f in fills if f < capacity):
+        room += fills[fill] * (capacity - fill)
+        if room >= share * (gap + 1) * capacity:
+            return fill
+    return capacity - 1
+
+
 def pack(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Give every piece (``doc_id, piece, start, length, ids_crc32``) a ``sequence_id`` and an ``offset``.
 
-    ``certified`` tells that the piece's packing partition holds as few bins as
-    any packing of it could.  Packing partitions are runs of at most
+    ``certified`` tells that the piece's packing partition was packed in as few
+    bins as any packing of it could be.  Packing partitions are runs of at most
     ``partition_rows`` rows, so a task's memory is bounded whatever the input,
     and hot ids or equal lengths cannot crowd one of them.  Each round is
-    written out; only released bins go on, whole bins together, to fewer
-    partitions.  An empty table gives no rows.
+    written out; only opened bins move, whole bins together.  A round that
+    brings nothing is followed by one that opens many more.  Rounds end when
+    the whole meets its bound, when opening every bin brings nothing, or after
+    ``rounds``.
+    An empty table gives no rows.
     """
     if partition_rows > 1 << 16:
         raise ValueError("partition_rows is limited to 65536 by the layout of sequence ids")
-    done = []
-    current = parts
-    for turn in range(rounds):
-        packed = durable(current.mapInArrow(lambda it, t=turn: _pack(it, t, partition_rows, capacity), PACKED), f"packed{turn}")
-        left = packed.where("open").count() if turn + 1 < rounds else 0
-        done.append(packed.where("not open") if left else packed)
-        if not left:
+    out = durable(parts.mapInArrow(lambda it: _pack(it, 0, partition_rows, capacity), PACKED), "packed")
+    counts = out.groupBy("length").count().collect()  # at most `capacity` rows
+    least = lower_bound(np.repeat([r["length"] for r in counts], [r["count"] for r in counts]).astype(np.int64), capacity)
+    before, share, limit = None, 2, 0
+    for turn in range(1, rounds + 1):
+        # One row of every bin has offset 0; a row for each fill, so at most `capacity` rows.
+        fills = {r["fill"]: r["count"] for r in out.where("offset = 0").groupBy("fill").count().collect()}
+        total = sum(fills.values())
+        if total <= least or total == before and limit == capacity - 1:
             break
-        # Bins stay whole: a partition holds all pieces of its bins, and is packed as one unless it outgrows its rows.
-        n = max(1, -(-2 * left // partition_rows))
-        current = packed.where("open").repartition(n, "sequence_id").sortWithinPartitions("sequence_id")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.drop("open")
+        share = 8 * share if total == before else share
+        before = total
+        limit = _opened(fills, total - least, share, capacity)
+        moving = out.where(F.col("fill") <= limit)
+        # Bins stay whole: a partition holds all pieces of its bins.
+        n = max(1, -(-2 * moving.count() // partition_rows))
+        again = moving.repartition(n, "sequence_id").sortWithinPartitions("sequence_id")
+        packed = durable(again.mapInArrow(lambda it, t=turn: _pack(it, t, partition_rows, capacity), PACKED), f"packed{turn}")
+        out = out.where(F.col("fill") > limit).unionByName(packed)
+    return out.drop("fill")
 
 
 def bound(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
