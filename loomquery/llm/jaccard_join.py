@@ -2,15 +2,17 @@
 
 Index level.  Shingles have one global order (rare first).  Two linked sets
 share a shingle within both prefixes, and everything before their first common
-shingle differs, so a pair is looked at only where the positions in an index
-list sum to no more than the allowed difference.  Lists are read in blocks of
-set size and position, and block pairs beyond that bound are skipped whole.
-
-Answer level.  Sets that are highly similar to a pivot are gathered around it
-with their exact distance.  The pivot's computed answers give its members':
-by the triangle inequality of the symmetric difference, a member can link to a
-set only if the pivot's distance to it is within the allowed difference plus
-the member's own distance, so most members' answers need no look at all.
+shingle differs, so a pair is looked at only where its positions in an index
+list leave room for a link.  Lists are read in blocks of set size, whole blocks
+and whole lists that lie in one component are skipped.
+
+Answer level.  Similar sets are gathered around a pivot, and each is kept as
+its difference from the pivot.  A member's answers follow from the pivot's
+incrementally: it links with the pivot if its difference is small enough; with
+another member, the distance is that of the two differences.  Two members
+whose differences have nothing in common link only if both link with the pivot
+(see ``_within``), so only members that share a difference are looked at, by
+an index of the differences with the same position rule.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ NUM, DEN = 17, 20
 COUNTED = 0.30
 #: Longest index list that is held to be counted; a longer one counts as this long.
 LIST_ROWS = 1 << 20
-#: Times that centres of stars are merged before the exact pass.
-STAR_ROUNDS = 2
+#: Times that pivots are gathered around others.
+PIVOT_ROUNDS = 3
 CACHE_WORDS = 600_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -155,7 +157,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, long, last = 0, False, None
 
     def out(token, key, late, df):
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(late), pa.array(df.astype(np.int32))], names)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(key), pa.array(late), pa.array(np.minimum(df, LIST_ROWS).astype(np.int32))], names)
 
     def flush():
         if held and not long and n > 1:
@@ -256,7 +258,7 @@ def _budget_bound(a: Column, b: Column) -> Column:
 
 
 def _distances(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """``pairs`` (key_a, key_b, ...) with ``distance`` (symmetric difference) and ``linked``."""
+    """``pairs`` (key_a, key_b) with ``linked``, and ``alike`` if half of the union is common."""
     a = contents.select(F.col("key").alias("key_a"), F.col("hashes").alias("hashes_a"))
     b = contents.select(F.col("key").alias("key_b"), F.col("hashes").alias("hashes_b"))
     both = F.size(F.array_intersect("hashes_a", "hashes_b"))
@@ -264,8 +266,8 @@ def _distances(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return (
         pairs.join(a, "key_a").join(b, "key_b")
         .withColumn("common", both)
-        .withColumn("distance", sizes - 2 * F.col("common"))
         .withColumn("linked", F.lit(DEN) * F.col("common") >= F.lit(NUM) * (sizes - F.col("common")))
+        .withColumn("alike", 2 * F.col("common") >= sizes - F.col("common"))
         .drop("hashes_a", "hashes_b", "common")
     )
 
@@ -275,116 +277,160 @@ def _size_block(n: str) -> Column:
     return F.floor(F.log(F.col(n)) / F.log(F.lit(1.2))).cast("int")
 
 
-def _stars(index: DataFrame, contents: DataFrame) -> DataFrame:
-    """``key, n, centre, dist``: sets gathered around pivots; ``dist`` bounds the distance to the centre from above.
+def _room(n_a: str, n_b: str, pos_a: str, pos_b: str, size_a: str | None = None, size_b: str | None = None) -> Column:
+    """Whether two sets may link whose first common element is at these positions.
+
+    The elements before it differ, and so do those after it that the longer
+    remainder has in excess.  ``size``: of the lists that are compared, where
+    they aren't the sets themselves but their differences from one pivot.
+    """
+    rest = F.abs((F.col(size_a or n_a) - F.col(pos_a)) - (F.col(size_b or n_b) - F.col(pos_b)))
+    return F.col(pos_a) + F.col(pos_b) + rest <= _budget(F.col(n_a), F.col(n_b))
+
+
+def _clusters(index: DataFrame, contents: DataFrame) -> DataFrame:
+    """``key, n, centre, n_centre, dist, delta``: every set's pivot and its difference from it.
 
     In each round the pivot of an index list's size block is one of the
     centres there; every other centre tries the pivot that it shares most
-    index entries with, and joins its star if they link.  A star's members are
-    connected by links.
+    lists with, and is gathered there if a half of their union is common.  A
+    set that the last pivot of its chain is too far from is its own.
     """
-    stars = durable(index.select("key", "n").distinct().withColumns({"centre": F.col("key"), "dist": F.lit(0).cast("long")}), "stars")
+    keys = index.select("key", "n").distinct()
+    at = durable(keys.withColumn("centre", F.col("key")), "clusters")
     entries = index.withColumn("block", _size_block("n"))
-    for turn in range(STAR_ROUNDS):
-        centres = stars.where("key = centre").select("key")
-        own = entries.join(centres, "key", "left_semi")
-        choice = F.struct(F.xxhash64("key", F.lit(turn)).alias("draw"), F.col("key").alias("pivot"), F.col("n").alias("n_pivot"))
-        pivots = own.groupBy("token", "block").agg(F.min(choice).alias("p")).select("token", "block", "p.draw", "p.pivot", "p.n_pivot")
+    for turn in range(PIVOT_ROUNDS):
+        own = entries.join(at.where("key = centre").select("key"), "key", "left_semi").withColumn("draw", F.xxhash64("key", F.lit(turn)))
+        pivots = own.groupBy("token", "block").agg(F.min(F.struct("draw", "key")).alias("p")).select("token", "block", F.col("p.draw").alias("low"), F.col("p.key").alias("pivot"))
         tries = (
-            own.withColumn("own_draw", F.xxhash64("key", F.lit(turn)))
-            .join(pivots, ["token", "block"])
-            .where(f"key <> pivot and draw < own_draw and {DEN} * least(n, n_pivot) >= {NUM} * greatest(n, n_pivot)")
+            own.join(pivots, ["token", "block"])
+            .where("low < draw")
             .groupBy("key", "pivot")
             .agg(F.count(F.lit(1)).alias("shared"))
             .groupBy("key")
             .agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
         )
-        joined = _distances(tries.select(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")), contents).where("linked")
-        # A pivot may join another star in the same round: follow the links to their ends (draws fall along them).
-        step = durable(joined.select(F.col("key_a").alias("centre"), F.col("key_b").alias("up"), F.col("distance").cast("long").alias("hop")), "joins")
+        near = _distances(tries.select(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")), contents).where("alike")
+        # A pivot may be gathered itself in the same round: follow the chains to their ends (draws fall along them).
+        step = durable(near.select(F.col("key_a").alias("centre"), F.col("key_b").alias("up")), "chains")
         while True:
-            above = step.select(F.col("centre").alias("up"), F.col("up").alias("up2"), F.col("hop").alias("hop2"))
-            longer = durable(
-                step.join(above, "up", "left").select(
-                    "centre", F.coalesce("up2", "up").alias("up"), (F.col("hop") + F.coalesce("hop2", F.lit(0))).alias("hop"), F.col("up2").isNotNull().alias("moved")
-                ),
-                "joins",
-            )
+            above = step.select(F.col("centre").alias("up"), F.col("up").alias("up2"))
+            longer = durable(step.join(above, "up", "left").select("centre", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), "chains")
             release(step)
-            step = longer.drop("moved")
-            step._loomquery_path = longer._loomquery_path
+            step = longer
             if longer.where("moved").isEmpty():
                 break
-        moved = durable(
-            stars.join(step, "centre", "left").select(
-                "key", "n", F.coalesce("up", "centre").alias("centre"), (F.col("dist") + F.coalesce("hop", F.lit(0))).alias("dist")
-            ),
-            "stars",
-        )
-        release(stars)
+        moved = durable(at.join(step.drop("moved"), "centre", "left").select("key", "n", F.coalesce("up", "centre").alias("centre")), "clusters")
+        release(at)
         release(step)
-        stars = moved
-    return stars
-
-
-def _blocks(entries: DataFrame, wide: bool) -> DataFrame:
-    """Entries keyed by size block; ``wide``: also given to the neighbouring blocks."""
-    block = _size_block("n")
-    return entries.withColumn("block", F.explode(F.array(block - 1, block, block + 1)) if wide else block)
+        at = moved
+    own = contents.select("key", "hashes")
+    pivot = contents.select(F.col("key").alias("centre"), F.col("hashes").alias("pivot"))
+    both = at.join(own, "key").join(pivot, "centre").withColumn("delta", F.concat(F.array_except("hashes", "pivot"), F.array_except("pivot", "hashes")))
+    far = 3 * F.size("delta") > F.col("n") + F.size("pivot")
+    return durable(
+        both.select(
+            "key", "n", F.when(far, F.col("key")).otherwise(F.col("centre")).alias("centre"), F.when(far, F.col("n")).otherwise(F.size("pivot")).alias("n_centre"),
+            F.when(far, 0).otherwise(F.size("delta")).alias("dist"), F.when(far, F.array().cast("array<bigint>")).otherwise(F.col("delta")).alias("delta"),
+        ),
+        "clusters",
+    )
 
 
-def _links(index: DataFrame, stars: DataFrame, contents: DataFrame) -> DataFrame:
-    """``a, b``: links between stars, at least one for every two stars with linked members.
+def _within(clusters: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: links between members of one cluster that are in different components so far.
 
-    First list by list between stars as wholes, then between members of the
-    star pairs whose centres' distance leaves room for a link.
+    The distance of two members is that of their differences from the pivot.
+    If these have nothing in common and the members link, the sum of the two
+    sizes is within the budget of the members; the budget is the largest number
+    of the right parity up to 3/37 of the sizes, and a member is larger than
+    the pivot by its difference at most, so each difference is within the
+    member's budget with the pivot, and both link with it.  So only pairs that
+    share a difference are left.
     """
-    entries = index.join(stars.select("key", "centre", "dist"), "key")
-    # Lists inside one star are skipped whole.
-    mixed = entries.groupBy("token").agg(F.min("centre").alias("lo"), F.max("centre").alias("hi")).where("lo <> hi").select("token")
-    entries = durable(entries.join(mixed, "token", "left_semi"), "entries")
-    star_rows = entries.withColumn("own_block", _size_block("n")).groupBy("token", "centre", "own_block").agg(
-        F.min("pos").alias("pos"), F.min("n").alias("n_min"), F.max("n").alias("n_max")
-    )
-    a = star_rows.select("token", F.col("own_block").alias("block"), F.col("centre").alias("a"), F.col("pos").alias("pos_a"), F.col("n_min").alias("min_a"), F.col("n_max").alias("max_a"))
-    b = star_rows.select(
-        "token", F.explode(F.expr("array(own_block - 1, own_block, own_block + 1)")).alias("block"), F.col("centre").alias("b"), F.col("pos").alias("pos_b"), F.col("n_min").alias("min_b"), F.col("n_max").alias("max_b")
+    own = clusters.where("dist > 0").join(roots.select(F.col("node").alias("key"), "root"), "key")
+    split = own.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("centre")
+    rows = own.join(split, "centre", "left_semi").select("centre", "key", "n", "root", "dist", F.explode("delta").alias("token"))
+    frequent = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
+    rank = Window.partitionBy("key").orderBy("df", "token")
+    every = Window.partitionBy("key")
+    entries = (
+        rows.join(frequent, ["centre", "token"])
+        .withColumn("pos", F.col("dist") - F.count(F.lit(1)).over(every) + F.row_number().over(rank) - 1)
+        .where("lo <> hi")
+        .where(F.col("pos") <= _budget_bound(F.col("n"), F.col("n") * DEN / NUM))
     )
+    cols = ("key", "n", "root", "dist", "pos")
+    a = entries.select("centre", "token", *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = entries.select("centre", "token", *[F.col(c).alias(f"{c}_b") for c in cols])
     pairs = (
-        a.join(b, ["token", "block"])
-        .where(F.col("a") < F.col("b"))
-        .where(f"{DEN} * max_a >= {NUM} * min_b and {DEN} * max_b >= {NUM} * min_a")
-        .where(F.col("pos_a") + F.col("pos_b") <= _budget_bound(F.col("max_a"), F.col("max_b")))
-        .select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
-        .distinct()
+        a.join(b, ["centre", "token"])
+        .where("key_a < key_b and root_a <> root_b")
+        .where(_room("n_a", "n_b", "pos_a", "pos_b", "dist_a", "dist_b"))
+        .groupBy("key_a", "key_b")
+        .agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     )
-    reach = stars.groupBy("centre").agg(F.max("dist").alias("radius"), F.max("n").alias("n_max"))
-    near = durable(_distances(pairs, contents), "star-pairs")
-    done = near.where("linked").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    open_pairs = durable(
-        near.where("not linked")
-        .join(reach.select(F.col("centre").alias("key_a"), F.col("radius").alias("radius_a"), F.col("n_max").alias("max_a")), "key_a")
-        .join(reach.select(F.col("centre").alias("key_b"), F.col("radius").alias("radius_b"), F.col("n_max").alias("max_b")), "key_b")
-        .where((F.col("radius_a") + F.col("radius_b") > 0) & (F.col("distance") - F.col("radius_a") - F.col("radius_b") <= _budget_bound(F.col("max_a"), F.col("max_b"))))
-        .select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("distance").alias("apart")),
-        "open-pairs",
+    delta = clusters.select("key", "delta")
+    both = pairs.join(delta.select(F.col("key").alias("key_a"), F.col("delta").alias("delta_a")), "key_a").join(
+        delta.select(F.col("key").alias("key_b"), F.col("delta").alias("delta_b")), "key_b"
     )
-    if open_pairs.isEmpty():
-        return done
-    cols = ["token", "block", "key", "n", "pos", "dist"]
-    left = _blocks(entries, False).select("token", "block", F.col("centre").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols[2:]])
-    right = _blocks(entries, True).select("token", "block", F.col("centre").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols[2:]])
-    members = (
-        left.join(open_pairs, "a")
-        .join(right, ["token", "block", "b"])
+    distance = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+    return both.where(distance <= _budget(F.col("n_a"), F.col("n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+
+
+def _mixed_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries with their component ``root``, without the lists inside one component or one cluster: these are skipped whole."""
+    own = entries.join(roots.select(F.col("node").alias("key"), "root"), "key")
+    ends = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("centre").alias("low"), F.max("centre").alias("high"))
+    return own.join(ends.where("lo <> hi and low <> high").select("token"), "token", "left_semi")
+
+
+def _across(entries: DataFrame) -> DataFrame:
+    """``key_a, key_b``: all pairs between clusters and components that lists, sizes and positions allow.
+
+    Blocks of a list (one cluster and size block) are paired first, by their
+    least position and extreme sizes; only the surviving ones are opened.
+    """
+    rows = entries.withColumn("block", _size_block("n"))
+    heads = rows.groupBy("token", "centre", "block").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"))
+    cols = ("centre", "block", "pos", "least", "most")
+    a = heads.select("token", *[F.col(c).alias(f"{c}_a") for c in cols])
+    b = heads.select("token", *[F.col(c).alias(f"{c}_b") for c in cols])
+    blocks = (
+        a.join(b, "token")
+        .where("centre_a < centre_b and abs(block_a - block_b) <= 1")
+        .where(f"{DEN} * most_a >= {NUM} * least_b and {DEN} * most_b >= {NUM} * least_a")
+        .where(F.col("pos_a") + F.col("pos_b") <= _budget_bound(F.col("most_a"), F.col("most_b")))
+        .select("token", "centre_a", "block_a", "centre_b", "block_b")
+    )
+    own = ("key", "n", "pos", "root")
+    left = rows.select("token", F.col("centre").alias("centre_a"), F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in own])
+    right = rows.select("token", F.col("centre").alias("centre_b"), F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in own])
+    return (
+        left.join(blocks, ["token", "centre_a", "block_a"])
+        .join(right, ["token", "centre_b", "block_b"])
+        .where("root_a <> root_b")
         .where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-        .where(F.col("pos_a") + F.col("pos_b") <= _budget(F.col("n_a"), F.col("n_b")))
-        .where(F.col("apart") - F.col("dist_a") - F.col("dist_b") <= _budget(F.col("n_a"), F.col("n_b")))
-        .select("a", "b", "key_a", "key_b")
+        .where(_room("n_a", "n_b", "pos_a", "pos_b"))
+        .select("key_a", "key_b")
         .distinct()
     )
-    more = _distances(members, contents).where("linked").select("a", "b")
-    return done.unionByName(more.distinct())
+
+
+def _links(index: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``key`` of every indexed set, and links ``a, b``, enough to connect every two linked sets."""
+    clusters = _clusters(index, contents)
+    nodes = clusters.select(F.col("key").alias("node"))
+    direct = clusters.where("key <> centre").where(F.col("dist") <= _budget(F.col("n"), F.col("n_centre")))
+    found = direct.select(F.col("key").alias("a"), F.col("centre").alias("b"))
+    roots = components(nodes, found)
+    found = durable(found.unionByName(_within(clusters, roots)), "links")
+    release(roots)
+    roots = components(nodes, found)
+    entries = durable(_mixed_lists(index.join(clusters.select("key", "centre"), "key"), roots), "mixed")
+    release(roots)
+    linked = _distances(_across(entries), contents).where("linked")
+    return nodes, found.unionByName(linked.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -436,11 +482,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     index = durable(_index(docs, sets, text_col, words, counted), "index")
     active = index.select("key").distinct()
     contents = durable(_contents(docs, active, members, id_col, text_col, words), "sets")
-    stars = _stars(index, contents)
-    links = _links(index, stars, contents)
-    roots = components(stars.select(F.col("centre").alias("node")).distinct(), links)
+    nodes, links = _links(index, contents)
+    roots = components(nodes, links)
     lowest = named.groupBy("key").agg(F.min("doc_id").alias("low"))
-    by_set = stars.select("key", F.col("centre").alias("node")).join(roots, "node").join(lowest, "key").select("key", "root", "low")
+    by_set = roots.select(F.col("node").alias("key"), "root").join(lowest, "key")
     by_root = by_set.groupBy("root").agg(F.min("low").alias("root_low"))
     linked = by_set.join(by_root, "root").select("key", "root_low")
     named_sets = lowest.join(linked, "key", "left").select("key", F.coalesce("root_low", "low").alias("component_id"))
