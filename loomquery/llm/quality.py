@@ -172,16 +172,23 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hold_o
     allowed = id_remainder("id", hold_out[0]) != hold_out[1]
     chosen = sample(docs, labels, label_col, allowed, max_rows)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
         for batch in batches:
-            x = [features(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(x, pa.binary())], ["id", "label", "x"])
-
-    # Bounded by max_rows documents' distinct hashed features.
-    got = chosen.mapInArrow(extract, "id long, label int, x binary").orderBy("id").toPandas()
+            for i, label, text in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "text")), strict=True):
+                x = features(text)
+                found.append((i, int(label > 0), x.tobytes()))
+        found.sort()
+        m = fit([np.frombuffer(x, np.int64) for _, _, x in found], np.asarray([y for _, y, _ in found], int))
+        yield pa.RecordBatch.from_pydict({"scale": [m.scale.tobytes()], "weight": [m.weight.tobytes()], "slope": [m.slope], "shift": [m.shift]})
+
+    # The sample is bounded, so one task fits the model, and the driver gets no more than its two arrays.
+    got = chosen.coalesce(1).mapInArrow(fitted, "scale binary, weight binary, slope double, shift double").collect()
     release(chosen)
-    rows = [np.frombuffer(x, "<i4").astype(np.int64) for x in got["x"]]
-    return fit(rows, (got["label"].to_numpy() > 0).astype(int))
+    if not got:
+        return fit([], np.empty(0, int))
+    r = got[0]
+    return Model(np.frombuffer(r["scale"], np.float32), np.frombuffer(r["weight"], np.float32), r["slope"], r["shift"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "quality_score", threshold: float = 0.3) -> DataFrame:
