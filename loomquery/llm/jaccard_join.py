@@ -36,6 +36,8 @@ COUNTED = 0.30
 LIST_ROWS = 1 << 20
 #: Times that pivots are gathered around others.
 PIVOT_ROUNDS = 3
+#: Rounds of likely links between clusters, and pairs tried for every two components in each.
+TRIAL_ROUNDS, TRIALS = 1, 3
 CACHE_WORDS = 600_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -385,6 +387,27 @@ def _mixed_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(ends.where("lo <> hi and low <> high").select("token"), "token", "left_semi")
 
 
+def _trials(entries: DataFrame, turn: int) -> DataFrame:
+    """``key_a, key_b``: a few likely links for every two components of different clusters.
+
+    In each size block of a list every entry meets two drawn ones; of the
+    pairs between two components those met most often are tried.
+    """
+    rows = entries.withColumn("block", _size_block("n")).withColumn("draw", F.xxhash64("key", "token", F.lit(turn)))
+    drawn = F.struct("draw", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "centre", "n", "pos")])
+    picks = rows.groupBy("token", "block").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi"))
+    picks = picks.select("token", "block", F.explode(F.array("lo", "hi")).alias("p")).select("token", "block", "p.*").drop("draw")
+    met = (
+        rows.join(picks, ["token", "block"])
+        .where(f"root <> root_b and centre <> centre_b and {DEN} * least(n, n_b) >= {NUM} * greatest(n, n_b)")
+        .where(_room("n", "n_b", "pos", "pos_b"))
+        .groupBy(F.least("root", "root_b").alias("r"), F.greatest("root", "root_b").alias("q"), F.least("key", "key_b").alias("key_a"), F.greatest("key", "key_b").alias("key_b"))
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
+    best = Window.partitionBy("r", "q").orderBy(F.desc("times"), "key_a", "key_b")
+    return met.withColumn("k", F.row_number().over(best)).where(f"k <= {TRIALS}").select("key_a", "key_b")
+
+
 def _across(entries: DataFrame) -> DataFrame:
     """``key_a, key_b``: all pairs between clusters and components that lists, sizes and positions allow.
 
@@ -427,8 +450,17 @@ def _links(index: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]
     found = durable(found.unionByName(_within(clusters, roots)), "links")
     release(roots)
     roots = components(nodes, found)
-    entries = durable(_mixed_lists(index.join(clusters.select("key", "centre"), "key"), roots), "mixed")
+    placed = index.join(clusters.select("key", "centre"), "key")
+    entries = durable(_mixed_lists(placed, roots), "mixed")
     release(roots)
+    # What a few likely pairs connect need not be looked at again.
+    for turn in range(TRIAL_ROUNDS):
+        likely = _distances(_trials(entries, turn), contents).where("linked")
+        found = durable(found.unionByName(likely.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), "links")
+        release(entries)
+        roots = components(nodes, found)
+        entries = durable(_mixed_lists(placed, roots), "mixed")
+        release(roots)
     linked = _distances(_across(entries), contents).where("linked")
     return nodes, found.unionByName(linked.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
