@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import id_remainder, release
 from .training import logistic, sample
 
-#: Labelled rows that the model is fitted on at most, and words of the lexicon at most.
+#: Labelled rows that lexicon and weights are fitted on at most, and words of the lexicon at most.
 TRAIN_ROWS = 16_384
 LEXICON = 512
 #: G-squared a word needs, and documents of the sample it must occur in.
@@ -246,26 +246,52 @@ class Model:
         return "".join(out)
 
 
+def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """``CharModel.counts`` of the distinct plain words of all documents, labelled or not.
+
+    Words are made distinct by Spark; at most 27^3 sums reach the driver.
+    """
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            fresh: set[str] = set()
+            for text in batch.column("text").to_pylist():
+                if text:
+                    fresh.update(text.split())
+            fresh -= seen
+            if len(seen) + len(fresh) >= CACHE_TOKENS:
+                seen.clear()
+            seen |= fresh
+            words = {w for t in fresh if (w := _EDGE.sub("", t.lower())).isascii() and w.isalpha()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27**3)
+        for batch in batches:
+            total += CharModel.counts(batch.column("word").to_pylist()).ravel()
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(total[cell].astype(np.int64))], ["cell", "n"])
+
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(plain, "word string").distinct()
+    rows = words.mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(27**3)
+    for r in rows:
+        out[r["cell"]] = r["n"]
+    return out.reshape(27, 27, 27)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", hold_out: tuple[int, int] = (5, 0), max_rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most about ``max_rows`` labelled documents whose id's crc32 mod ``hold_out[0]`` isn't ``hold_out[1]``.
 
-    The character model is counted over the sample's distinct plain words; the
+    The character model needs no labels and is counted over all documents; the
     lexicon holds the words of restored texts that speak most for the label
     (G-squared), and their weights come from a logistic regression.  Without
     labels or with one class, scores are constant.
     """
     chosen = sample(docs, labels, label_col, id_remainder("id", hold_out[0]) != hold_out[1], max_rows)
 
-    def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: set[str] = set()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words.update(w for t in set(text.split()) if (w := _EDGE.sub("", t.lower())).isascii() and w.isalpha())
-        yield pa.RecordBatch.from_arrays([pa.array([CharModel.counts(words).astype("<f8").tobytes()], pa.binary())], ["counts"])
-
-    # A table of 27^3 numbers from each of the sample's few partitions.
-    parts = chosen.mapInArrow(trigrams, "counts binary").collect()
-    trigram_counts = sum((np.frombuffer(r["counts"], "<f8").reshape(27, 27, 27) for r in parts), np.zeros((27, 27, 27)))
+    trigram_counts = corpus_trigrams(docs)
     model = Model(CharModel.fit(trigram_counts))
     held = docs.sparkSession.sparkContext.broadcast(model)
 

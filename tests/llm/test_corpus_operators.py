@@ -335,6 +335,18 @@ def test_toxicity_restores_obfuscated_words(spark):
     assert model.score("a" * 100_000) == clean
 
 
+def test_toxicity_character_model_covers_all_documents(spark):
+    texts = [("plain words here", 0), ("Kilt, kilts! kilt", None), (None, None), ("", None), ("milk silk x1y É wilt.", None)]
+    docs, labels = labelled(spark, texts, "toxic")
+    want = toxicity.CharModel.counts({"plain", "words", "here", "kilt", "kilts", "milk", "silk", "wilt"})
+    assert (toxicity.corpus_trigrams(docs.repartition(3)) == want).all()
+    for own in (labels, labels.limit(0)):
+        model = toxicity.train(docs, own)
+        assert np.allclose(model.chars.table, toxicity.CharModel.fit(want).table)
+        assert model.decode("k1lt") == "kilt" and model.decode("m1lk") == "milk"
+    assert not toxicity.corpus_trigrams(docs.limit(0)).any()
+
+
 # Pipeline
 
 
