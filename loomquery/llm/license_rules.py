@@ -139,6 +139,9 @@ ANCHORS = (
     "endorse or promote",
     "mozilla org",
     "gnu org",
+    "creativecommons org",
+    " mit no attribution",
+    "rail ",
 )
 
 GRANT = "(?:licensed|released|distributed|published|provided|offered) under(?: the)?(?: terms of)?(?: the| an?)? "

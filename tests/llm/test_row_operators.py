@@ -1,6 +1,7 @@
 """License scan, decontamination, media columns and sharding: brute force and edge cases."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -80,6 +81,46 @@ def test_license_rules_are_gated_soundly():
                 assert any(a in around for a in license_rules.ANCHORS), r
 
 
+def rule_sample(parsed, rng):
+    """A string that a parsed regular expression matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = arg[0]
+            out += "x" if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else value[0])
+        elif name == "BRANCH":
+            out += rule_sample(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += rule_sample(arg[-1], rng)
+        elif name == "MAX_REPEAT":
+            low, high, body = arg
+            out += "".join(rule_sample(body, rng) for _ in range(rng.randint(low, min(high, low + 1))))
+        else:
+            assert name == "ASSERT", name
+    return out
+
+
+def test_license_gates_are_implied_by_every_rule():
+    rng = random.Random(1)
+    for r in license_rules.rules():
+        parsed = re._parser.parse(r["regex"])
+        norms = {f" {' '.join(rule_sample(parsed, rng).split())} " for _ in range(60)}
+        norms = [n for n in norms if re.search(r["regex"], n)]
+        assert norms, r
+        for norm in norms:
+            assert r["keyword"] in norm, (r, norm)
+            assert any(a in norm for a in license_rules.ANCHORS), (r, norm)
+
+
+def test_license_scan_of_lone_short_forms(spark):
+    texts = ["http://creativecommons.org/publicdomain/zero/1.0/", "MIT No Attribution", "CreativeML OpenRAIL-M", "a trail map"]
+    rows = {r["doc_id"]: r["license"] for r in license_scan.scan(table(spark, texts)).collect()}
+    assert [list(rows[i]["labels"]) for i in range(4)] == [["cc"], ["mit-0"], ["openrail"], []]
+
+
 def test_license_scan_keeps_other_columns_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "all rights reserved", "x", 5), (1, "all rights reserved", "x", 5)], "doc_id long, text string, license string, `odd name` int")
     rows = license_scan.scan(docs).collect()
