@@ -27,7 +27,7 @@ RESULT = "n_words long, n_hit long, items array<string>, hits array<struct<start
 class Automaton:
     """Word-level Aho-Corasick automaton of all windows of all items."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         import ahocorasick
 
         self.ids: dict[bytes, int] = {}
@@ -35,7 +35,9 @@ class Automaton:
         for name, text in items:
             words = [self.ids.setdefault(w, len(self.ids) + 1) for w in word_list(text)]
             for at in range(max(1, len(words) - window + 1) if words else 0):
-                owners.setdefault(tuple(words[at : at + window]), set()).add(name)
+                own = owners.setdefault(tuple(words[at : at + window]), set())
+                if name is not None:
+                    own.add(name)
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, names in owners.items():
             self.trie.add_word(key, (len(key), tuple(names)))

@@ -160,6 +160,15 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.scan(clash, bench).columns == ["doc_id", "text", "item_id", "leak"]
 
 
+def test_decontamination_item_without_id_marks_words_only(spark):
+    bench = spark.createDataFrame([(None, "lost item"), (None, "short item"), (2, "short item"), (7, "other item")], "item_id long, text string")
+    docs = table(spark, ["a lost item", "short item, other item, lost item"])
+    for limit in (decontaminate.MAX_WINDOW_WORDS, 20):
+        got = {r["doc_id"]: r["leak"] for r in decontaminate.scan(docs, bench, max_window_words=limit).collect()}
+        assert (got[0]["n_hit"], list(got[0]["items"])) == (2, []) and got[0]["contaminated"]
+        assert (got[1]["n_hit"], list(got[1]["items"])) == (6, ["2", "7"])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab ", max_size=60), min_size=1, max_size=4), st.lists(st.text("ab ", max_size=30), min_size=1, max_size=4))
 def test_automaton_on_small_alphabets(texts, items):
