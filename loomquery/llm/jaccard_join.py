@@ -97,7 +97,7 @@ def _emitted(hashes: np.ndarray, counted: int) -> tuple[int, int]:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, words: int, counted: int) -> DataFrame:
-    """``doc_id, key, n, n_counted`` of every row; key is null for an empty set."""
+    """``doc_id, sig, key, n, n_counted`` of every row; sig is a hash of the text, key is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,11 +108,12 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, counted: i
                 n.append(len(h))
                 c.append(_emitted(h, counted)[0])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32())], ["doc_id", "key", "n", "n_counted"]
+                [batch.column("doc_id"), batch.column("sig"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32())],
+                ["doc_id", "sig", "key", "n", "n_counted"],
             )
 
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, key long, n int, n_counted int")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "doc_id long, sig long, key long, n int, n_counted int")
 
 
 def _postings(docs: DataFrame, text_col: str, words: int, counted: int) -> DataFrame:
@@ -492,6 +493,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _roots(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """``_members`` of the table, and ``node, root`` of the indexed sets; any other set is a component by itself."""
+    counted = int(COUNTED * 2**64)
+    members = durable(_members(docs, id_col, text_col, words, counted), "members")
+    sets = members.where("key is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("n_counted").alias("n_counted"))
+    index = durable(_index(docs, sets, text_col, words, counted), "index")
+    active = index.select("key").distinct()
+    contents = durable(_contents(docs, active, members, id_col, text_col, words), "sets")
+    nodes, links = _links(index, contents)
+    return members, components(nodes, links)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
@@ -507,15 +520,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     Sets and shingles are named by 64-bit hashes, so unequal ones coincide
     with a chance of about n^2 / 2^65.
     """
-    counted = int(COUNTED * 2**64)
-    members = durable(_members(docs, id_col, text_col, words, counted), "members")
+    members, roots = _roots(docs, id_col, text_col, words)
     named = members.where("key is not null")
-    sets = named.groupBy("key").agg(F.min("n").alias("n"), F.min("n_counted").alias("n_counted"))
-    index = durable(_index(docs, sets, text_col, words, counted), "index")
-    active = index.select("key").distinct()
-    contents = durable(_contents(docs, active, members, id_col, text_col, words), "sets")
-    nodes, links = _links(index, contents)
-    roots = components(nodes, links)
     lowest = named.groupBy("key").agg(F.min("doc_id").alias("low"))
     by_set = roots.select(F.col("node").alias("key"), "root").join(lowest, "key")
     by_root = by_set.groupBy("root").agg(F.min("low").alias("root_low"))
@@ -528,16 +534,24 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id; documents without words all stay.  Columns are unchanged."""
-    lowest = F.lit(-(1 << 63))
-    found = join(docs, id_col, text_col)
-    keep = (
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.coalesce("doc_id", lowest).alias("_id"))
-        .agg(F.max("n_shingles").alias("_n"))
-    )
-    packed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("long"), lowest).alias("_id"))
-    # Rows that repeat an id are one document; the join has dealt them by it already.
-    first = Window.partitionBy("_id").orderBy(F.xxhash64(f"_row.{text_col}"))
-    stays = packed.join(keep, "_id").withColumn("_k", F.row_number().over(first))
-    return stays.where("_k = 1 or _n = 0").select("_row.*")
+    """One row of each component, the one with the smallest id (null last), then set; rows without words all stay.  Columns are unchanged.
+
+    Rows are told apart by id and text, so those that share an id, or have
+    none, fall together only if their texts are linked.
+    """
+    members, roots = _roots(docs, id_col, text_col, WORDS)
+    named = members.where("key is not null").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sig")).alias("k")
+    keep = named.groupBy(F.coalesce("root", "key").alias("root")).agg(first).select(
+        F.coalesce("k.doc_id", F.lit(0)).alias("_id"), F.col("k.none").alias("_none"), F.col("k.sig").alias("_sig"), F.lit(True).alias("_worded")
+    )
+    text, own = F.col(text_col), F.col(id_col).cast("long")
+    worded = F.coalesce(text.rlike(r"[^ \t\n\r\x0B\f]"), F.lit(False))
+    packed = docs.select(
+        F.struct("*").alias("_row"), F.coalesce(own, F.lit(0)).alias("_id"), own.isNull().alias("_none"), worded.alias("_worded"),
+        F.when(worded, F.xxhash64(text)).otherwise(F.monotonically_increasing_id()).alias("_sig"),
+    )
+    row = ["_id", "_none", "_sig", "_worded"]
+    # Rows of one id and text are one document; Spark limits them before the shuffle.
+    single = packed.withColumn("_k", F.row_number().over(Window.partitionBy(*row).orderBy("_sig"))).where("_k = 1")
+    return single.join(keep.withColumn("_kept", F.lit(True)), row, "left").where("_kept or not _worded").select("_row.*")

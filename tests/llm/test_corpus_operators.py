@@ -107,6 +107,16 @@ def test_deduplicate_keeps_one_of_each_component(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in plain_components([r[:2] for r in rows])})
 
 
+def test_deduplicate_tells_rows_of_null_or_equal_id_apart(spark):
+    rng = random.Random(8)
+    t = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30)) for _ in range(5)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (1, t[2]), (7, t[3]), (7, t[2]), (7, t[4]), (None, t[4].upper())]
+    rows += [(None, None), (None, None), (7, " \t"), (7, " \t"), (7, "\u00a0")]
+    kept = jaccard_join.deduplicate(spark.createDataFrame(rows, DOCS)).collect()
+    want = [(None, t[0]), (None, t[1]), (1, t[2]), (7, t[3]), (7, t[4]), (None, None), (None, None), (7, " \t"), (7, " \t"), (7, "\u00a0")]
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, want))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), min_size=0, max_size=6), min_size=1, max_size=8), st.integers(1, 5), st.integers(2, 6))
 def test_shared_lists_across_batches(lists, size, limit):
