@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,7 @@ LEXICON_WEIGHT = 200
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _CLEAN = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_PAIR = re.compile(r"([^\s_])\1")
 _DECOR = re.compile(r"^([\W_])\1+|([\W_])\2+$")
 _MIXED = re.compile(r"[a-z][^a-z\s]|[^a-z\s][a-z]")
 OUTER = ".,;:?()\"'"
@@ -93,11 +95,18 @@ class CharModel:
         return total + self.table[a, b, 26]
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def runs(word: str) -> tuple[str, list[int]]:
+    """The word with each run of one letter as a single one, and the runs' lengths."""
+    groups = [(ch, len(list(g))) for ch, g in groupby(word)]
+    return "".join(ch for ch, _ in groups), [n for _, n in groups]
+
+
+def lattice(token: str, pairs: bool = False) -> list[list[tuple[str, float]]]:
     """For each symbol of a lower-case token, the letters it may stand for with channel log-probabilities.
 
     An empty reading drops the symbol: a repeat in a run of three or more
-    letters, or a mark between letters.  Characters without any reading are kept out.
+    letters (with ``pairs`` also in one of two letters or symbols), or a mark
+    between letters.  Characters without any reading are kept out.
     """
     out: list[list[tuple[str, float]]] = []
     for i, ch in enumerate(token):
@@ -106,6 +115,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             arcs.append((ch, LOG_SAME))
             if i and token[i - 1] == ch and (token[i - 2 : i] == ch * 2 or token[i + 1 : i + 2] == ch):
                 arcs.append(("", LOG_SAME))
+        if pairs and i and token[i - 1] == ch and (ch in ALPHABET or ch in LEET) and ("", LOG_SAME) not in arcs:
+            arcs.append(("", LOG_DROP))
         for letter in LEET.get(ch, ""):
             arcs.append((letter, LOG_LEET - (math.log(len(LEET[ch])) if len(LEET[ch]) > 2 else 0)))
         if ch in GLUE:
@@ -140,26 +151,51 @@ def viterbi(arcs: list[list[tuple[str, float]]], model: CharModel) -> tuple[str,
     return "".join(reversed(letters)), float(score)
 
 
+def lone(token: str) -> str:
+    """The one character between the token's outer marks, or nothing."""
+    for core in (token.strip(OUTER), token.strip(OUTER + "!"), _EDGE.sub("", token)):
+        if len(core) == 1:
+            return core
+    return ""
+
+
 @dataclass
 class Model:
     chars: CharModel
     lexicon: dict[str, int] = field(default_factory=dict)
     weight: np.ndarray = field(default_factory=lambda: np.zeros(2))
     cache: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
+    single: dict[str, list] | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {**self.__dict__, "cache": {}, "single": None}
 
-    def decode(self, token: str) -> str:
+    def decode(self, token: str, pairs: bool = False) -> str:
         """Best reading of one lower-case token; long tokens are read whole."""
-        arcs = lattice(token)
+        arcs = lattice(token, pairs)
         return viterbi(arcs, self.chars)[0] if arcs else ""
 
+    def decoded(self, token: str) -> list[str]:
+        """Best reading, and the best one where doubled symbols may be single."""
+        return [self.decode(token), *([self.decode(token, pairs=True)] if _PAIR.search(token) else [])]
+
+    def repeats(self, word: str) -> list[str]:
+        """Words that an alphabetic word with doubled letters may stand for: every lexicon word it stretches, or the best reading before there is a lexicon."""
+        if not self.lexicon:
+            return [self.decode(word, pairs=True)]
+        if self.single is None:
+            self.single = {}
+            for w in self.lexicon:
+                base, lengths = runs(w)
+                self.single.setdefault(base, []).append((w, lengths))
+        base, lengths = runs(word)
+        return [w for w, least in self.single.get(base, ()) if all(n >= m for n, m in zip(lengths, least, strict=True))]
+
     def readings(self, token: str) -> tuple[str, ...]:
         """Words that a white-space token may stand for: its letters without outer marks, and restored forms."""
         low = token.lower()
         core = low.rstrip(".,")
-        if core.isalpha() and not _RUN.search(core):
+        if core.isalpha() and (core in self.lexicon or not _PAIR.search(core)):
             return (core,)
         core = _EDGE.sub("", low)
         forms = {}
@@ -170,11 +206,13 @@ class Model:
                     if len(part) > 2:
                         forms[part] = None
                 if _MIXED.search(core) or _RUN.search(core):
-                    forms[self.decode(core)] = None
+                    forms.update(dict.fromkeys(self.decoded(core)))
+            if core.isalpha() and _PAIR.search(core) and core not in self.lexicon:
+                forms.update(dict.fromkeys(self.repeats(core)))
             # A symbol at the edge may be a letter too; a run of one symbol is decoration.
             whole = _DECOR.sub("", low).strip(OUTER)
             if whole != core and len(whole) > 2 and (whole[0] in LEET or whole[-1] in LEET):
-                forms[self.decode(whole)] = None
+                forms.update(dict.fromkeys(self.decoded(whole)))
         return tuple(f for f in forms if f)
 
     def words(self, text: str | None) -> set[str]:
@@ -189,21 +227,22 @@ class Model:
         return out
 
     def _spaced(self, tokens: list[str]) -> Iterator[str]:
-        """Restored words of runs of three or more single characters."""
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
+        """Restored words of runs of three or more single characters, outer marks aside."""
+        single = {i: c for i, t in enumerate(tokens) if (c := t if len(t) == 1 else "" if t.isalpha() else lone(t))}
         if len(single) < 3:
             return
-        run = [single[0]]
-        for i in [*single[1:], -1]:
+        at = list(single)
+        run = at[:1]
+        for i in [*at[1:], -1]:
             if i == run[-1] + 1:
                 run.append(i)
                 continue
             if len(run) >= 3:
-                joined = "".join(tokens[k] for k in run).lower()
-                read = self.decode(joined)
+                joined = "".join(single[k] for k in run).lower()
                 yield joined
-                yield read
-                yield from (w for w in self.lexicon if len(w) > 3 and w in read)  # the run may hold several words
+                for read in self.decoded(joined):
+                    yield read
+                    yield from (w for w in self.lexicon if len(w) > 3 and w in read)  # the run may hold several words
             run = [i]
 
     def _token_hits(self, token: str) -> tuple[int, ...]:

@@ -345,6 +345,17 @@ def test_toxicity_restores_obfuscated_words(spark):
     assert model.score("a" * 100_000) == clean
 
 
+def test_toxicity_reads_marked_spacing_and_doubled_letters():
+    words = ["stupid", "idiot", "moron", "plain", "ass"]
+    model = toxicity.Model(toxicity.CharModel.fit(200 * toxicity.CharModel.counts(words)), {w: i for i, w in enumerate(words)})
+    for text, hit in (
+        ("you s t u p i d.", 0), ('a "s t u p i d', 0), ('"s t u p i d!"', 0), ("s. t. u. p. i. d.", 0), ("so stuupid", 0), ("an idiiot!", 1), ("idiott,", 1),
+        ("st00pid st1ip", None), ("m o r r o n", 2), ("m00ron", 2), ("mooroon", 2), ("m0rr0n", 2), ("as", None), ("aass", 4), ("plan", None), ("pllaain", 3),
+    ):
+        assert model.hits(text) == ([] if hit is None else [hit]), text
+    assert "stupid" in toxicity.Model(model.chars).words("stuupid")
+
+
 def test_toxicity_character_model_covers_all_documents(spark):
     texts = [("plain words here", 0), ("Kilt, kilts! kilt", None), (None, None), ("", None), ("milk silk x1y É wilt.", None)]
     docs, labels = labelled(spark, texts, "toxic")
