@@ -227,7 +227,9 @@ def parse(data: bytes) -> Stream:
     """Parse tags, the bitrate table and every frame; resynchronise over foreign bytes.
 
     Empty or foreign bytes give a stream without frames.  A last frame that
-    the data cut short counts as truncated, not as a frame.
+    the data cut short counts as truncated, not as a frame.  Checksums are
+    verified in Layer III only: protected frames of Layers I and II count
+    neither as ``crc_ok`` nor as ``crc_bad``.
     """
     found = Stream()
     at, end = _id3v2(data, found), len(data)
