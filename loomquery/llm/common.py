@@ -26,6 +26,21 @@ def word_list(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_TABLE).split()
 
 
+#: Entries of a Python worker's cache, and bytes of a key that is kept: some 20 MB at most.
+CACHE_ENTRIES, CACHED_BYTES = 100_000, 48
+_cache: tuple[str, dict] = ("", {})
+
+
+def worker_cache(owner: str) -> dict:
+    """This Python worker's cache: emptied when it is full and when another operator comes to use it."""
+    global _cache
+    if _cache[0] != owner:
+        _cache = (owner, {})
+    elif len(_cache[1]) >= CACHE_ENTRIES:
+        _cache[1].clear()
+    return _cache[1]
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (null id: the crc of the empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -11,55 +11,79 @@ its difference from the pivot.  A member's answers follow from the pivot's
 incrementally: it links with the pivot if its difference is small enough; with
 another member, the distance is that of the two differences.  Two members
 whose differences have nothing in common link only if both link with the pivot
-(see ``_within``), so only members that share a difference are looked at, by
-an index of the differences with the same position rule.
+(see ``_differences``), so only members that share a difference are looked at,
+by an index of the differences with the same position rule.
+
+Only components are asked for, so pairs inside one are never looked at.  In a
+few rounds every entry of a list first tries its likeliest partner in another
+component; the pairs that are left between components are then all checked.
+A list is read as a whole up to ``CHUNK`` entries, else in pairs of chunks, so
+no task holds more than two of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import durable, release
+from .common import CACHED_BYTES, durable, release, worker_cache
+
+
+class Rule(NamedTuple):
+    """Shingles of ``words`` words; two sets link when ``num * union <= den * intersection``."""
+
+    words: int = 4
+    num: int = 17
+    den: int = 20
+
+    def prefix_length(self, n: int) -> int:
+        """Shingles of a set of ``n`` of which any linked set has at least one."""
+        return n - -(-self.num * n // self.den) + 1
+
+    def equal_only(self, n: int) -> bool:
+        """Whether a set of ``n`` links with equal sets only."""
+        return n * (self.den - self.num) < self.num
 
-WORDS = 4
-#: A pair links when NUM * union <= DEN * intersection.
-NUM, DEN = 17, 20
+    def budget(self, a, b):
+        """The largest symmetric difference of linked sets of these sizes (columns or arrays of whole numbers)."""
+        if isinstance(a, Column):
+            return a + b - 2 * F.ceil(F.lit(self.num) * (a + b) / F.lit(self.num + self.den))
+        return a + b + 2 * (-self.num * (a + b) // (self.num + self.den))
+
+
+#: The shingles and similarity of pipelines, where no contract says otherwise.
+DEFAULT = Rule(5, 4, 5)
 #: Share of the hash space whose shingles are counted and may come first in the order.
 COUNTED = 0.30
 #: Longest index list that is held to be counted; a longer one counts as this long.
 LIST_ROWS = 1 << 20
 #: Times that pivots are gathered around others.
-PIVOT_ROUNDS = 3
-#: Rounds of likely links between clusters, and pairs tried for every two components in each.
-TRIAL_ROUNDS, TRIALS = 1, 3
-CACHE_WORDS = 600_000
+PIVOT_ROUNDS = 2
+#: Rounds of likely links at most, before all pairs that are left.
+TRIAL_ROUNDS = 2
+#: Entries of a list that are held at once; pairs of longer lists' parts are dealt out.
+CHUNK = 1024
+#: Bits of a set's sketch.
+SKETCH = 512
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_WORDS: dict[bytes, int] = {}
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def _word(word: bytes) -> int:
-    found = xxh3_64_intdigest(word)
-    if len(_WORDS) >= CACHE_WORDS:
-        _WORDS.clear()
-    _WORDS[word] = found
-    return found
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _B
     h = (h ^ (h >> np.uint64(27))) * _C
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+def shingles(text: str | None, words: int = 4) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles.
 
     Words are runs of characters other than ASCII white space, A-Z
@@ -69,9 +93,14 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     tokens = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
     if not tokens:
         return np.empty(0, np.uint64)
-    found = list(map(_WORDS.get, tokens))
+    known = worker_cache("jaccard_join")
+    found = list(map(known.get, tokens))
     if None in found:
-        found = [_word(t) if x is None else x for t, x in zip(tokens, found, strict=True)]
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = xxh3_64_intdigest(tokens[i])
+                if len(tokens[i]) <= CACHED_BYTES:
+                    known[tokens[i]] = found[i]
     h = np.asarray(found, np.uint64)
     k = min(words, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
@@ -85,28 +114,31 @@ def set_key(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-def prefix_length(n: int) -> int:
-    """Shingles of a set of ``n`` of which any linked set has at least one."""
-    return n - -(-NUM * n // DEN) + 1
+def sketch(hashes: np.ndarray) -> bytes:
+    """For each of ``SKETCH`` buckets, whether an odd number of hashes falls in it.
+
+    Two sketches differ in no more bits than their sets have different hashes.
+    """
+    return np.packbits(np.bincount((hashes >> np.uint64(17)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1).tobytes()
 
 
-def _emitted(hashes: np.ndarray, counted: int) -> tuple[int, int]:
+def _emitted(hashes: np.ndarray, counted: int, rule: Rule) -> tuple[int, int]:
     """How many smallest hashes are counted ones, and how many are indexed."""
     n_counted = int(np.searchsorted(hashes, np.uint64(counted)))
-    return n_counted, max(n_counted, prefix_length(len(hashes)))
+    return n_counted, max(n_counted, rule.prefix_length(len(hashes)))
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str, words: int, counted: int) -> DataFrame:
+def _members(docs: DataFrame, id_col: str, text_col: str, rule: Rule, counted: int) -> DataFrame:
     """``doc_id, sig, key, n, n_counted`` of every row; sig is a hash of the text, key is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, n, c = [], [], []
             for text in batch.column("text"):
-                h = shingles(text.as_py(), words)
+                h = shingles(text.as_py(), rule.words)
                 key.append(set_key(h) if len(h) else None)
                 n.append(len(h))
-                c.append(_emitted(h, counted)[0])
+                c.append(_emitted(h, counted, rule)[0])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("sig"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32())],
                 ["doc_id", "sig", "key", "n", "n_counted"],
@@ -116,7 +148,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, words: int, counted: i
     return own.mapInArrow(run, "doc_id long, sig long, key long, n int, n_counted int")
 
 
-def _postings(docs: DataFrame, text_col: str, words: int, counted: int) -> DataFrame:
+def _postings(docs: DataFrame, text_col: str, rule: Rule, counted: int) -> DataFrame:
     """``token, key, late``: the indexed shingles of every set; ``late`` is the position of one that isn't counted, else -1.
 
     Sets that only equal sets can link with have none.  A set met again in the
@@ -128,14 +160,14 @@ def _postings(docs: DataFrame, text_col: str, words: int, counted: int) -> DataF
         for batch in batches:
             tokens, keys, late = [], [], []
             for text in batch.column("text"):
-                h = shingles(text.as_py(), words)
-                if len(h) < 6:  # a set of 5 or fewer shingles links with equal sets only
+                h = shingles(text.as_py(), rule.words)
+                if rule.equal_only(len(h)):
                     continue
                 key = set_key(h)
                 if key in seen:
                     continue
                 seen.add(key)
-                first, every = _emitted(h, counted)
+                first, every = _emitted(h, counted, rule)
                 tokens.append(h[:every])
                 keys.append(np.full(every, key, np.int64))
                 pos = np.full(every, -1, np.int32)
@@ -205,7 +237,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _index(docs: DataFrame, sets: DataFrame, text_col: str, words: int, counted: int) -> DataFrame:
+def _index(docs: DataFrame, sets: DataFrame, text_col: str, rule: Rule, counted: int) -> DataFrame:
     """``token, key, n, pos``: every set's prefix shingles that another set has indexed too.
 
     Order: counted shingles by (list length, hash), then the others by hash.
@@ -213,7 +245,7 @@ def _index(docs: DataFrame, sets: DataFrame, text_col: str, words: int, counted:
     a prefix full of them is not in the index at all.
     """
     shared = (
-        _postings(docs, text_col, words, counted)
+        _postings(docs, text_col, rule, counted)
         .repartition("token")
         .sortWithinPartitions("token", "key")
         .mapInArrow(_shared, "token long, key long, late int, df int")
@@ -225,13 +257,13 @@ def _index(docs: DataFrame, sets: DataFrame, text_col: str, words: int, counted:
         shared.join(sets, "key")
         .withColumn("early", F.count(in_list).over(total))
         .withColumn("pos", F.when(F.col("late") >= 0, F.col("late")).otherwise(F.col("n_counted") - F.col("early") + F.row_number().over(rank) - 1))
-        .where(f"pos < n - ceil({NUM} * n / {DEN}) + 1")
+        .where(f"pos < n - ceil({rule.num} * n / {rule.den}) + 1")
         .select("token", "key", "n", F.col("pos").cast("int").alias("pos"))
     )
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, members: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``key, hashes`` of the wanted keys, shingled anew from the texts of one document each."""
+def _contents(docs: DataFrame, wanted: DataFrame, members: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    """``key, hashes, sketch`` of the wanted keys, shingled anew from the texts of one document each."""
     lowest = -(1 << 63)
     ids = (
         members.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("id")).select("id").distinct()
@@ -239,28 +271,17 @@ def _contents(docs: DataFrame, wanted: DataFrame, members: DataFrame, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), words) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), rule.words) for t in batch.column("text")]
             keys = [set_key(h) if len(h) else None for h in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["key", "hashes"]
-            )
+            hashes = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), hashes, pa.array([sketch(h) for h in sets], pa.binary())], ["key", "hashes", "sketch"])
 
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("id"), F.col(text_col).alias("text"))
-    found = own.join(ids, "id", "left_semi").select("text").mapInArrow(run, "key long, hashes array<long>")
+    found = own.join(ids, "id", "left_semi").select("text").mapInArrow(run, "key long, hashes array<long>, sketch binary")
     return found.where("key is not null").join(wanted, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _budget(a: Column, b: Column) -> Column:
-    """The largest symmetric difference of linked sets of these sizes."""
-    return a + b - 2 * F.ceil(F.lit(NUM) * (a + b) / F.lit(NUM + DEN))
-
-
-def _budget_bound(a: Column, b: Column) -> Column:
-    """No less than the budget of any sizes up to these."""
-    return F.lit(DEN - NUM) * (a + b) / F.lit(NUM + DEN)
-
-
-def _distances(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+def _distances(pairs: DataFrame, contents: DataFrame, rule: Rule) -> DataFrame:
     """``pairs`` (key_a, key_b) with ``linked``, and ``alike`` if half of the union is common."""
     a = contents.select(F.col("key").alias("key_a"), F.col("hashes").alias("hashes_a"))
     b = contents.select(F.col("key").alias("key_b"), F.col("hashes").alias("hashes_b"))
@@ -269,30 +290,19 @@ def _distances(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return (
         pairs.join(a, "key_a").join(b, "key_b")
         .withColumn("common", both)
-        .withColumn("linked", F.lit(DEN) * F.col("common") >= F.lit(NUM) * (sizes - F.col("common")))
+        .withColumn("linked", F.lit(rule.den) * F.col("common") >= F.lit(rule.num) * (sizes - F.col("common")))
         .withColumn("alike", 2 * F.col("common") >= sizes - F.col("common"))
         .drop("hashes_a", "hashes_b", "common")
     )
 
 
-def _size_block(n: str) -> Column:
-    """Block of set sizes; blocks are wider than DEN / NUM, so linked sets are in the same block or in neighbours."""
-    return F.floor(F.log(F.col(n)) / F.log(F.lit(1.2))).cast("int")
-
-
-def _room(n_a: str, n_b: str, pos_a: str, pos_b: str, size_a: str | None = None, size_b: str | None = None) -> Column:
-    """Whether two sets may link whose first common element is at these positions.
-
-    The elements before it differ, and so do those after it that the longer
-    remainder has in excess.  ``size``: of the lists that are compared, where
-    they aren't the sets themselves but their differences from one pivot.
-    """
-    rest = F.abs((F.col(size_a or n_a) - F.col(pos_a)) - (F.col(size_b or n_b) - F.col(pos_b)))
-    return F.col(pos_a) + F.col(pos_b) + rest <= _budget(F.col(n_a), F.col(n_b))
+def _size_block(n: str, rule: Rule) -> Column:
+    """Block of set sizes; blocks are wider than den / num, so linked sets are in the same block or in neighbours."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(rule.den / rule.num + 0.03))).cast("int")
 
 
-def _clusters(index: DataFrame, contents: DataFrame) -> DataFrame:
-    """``key, n, centre, n_centre, dist, delta``: every set's pivot and its difference from it.
+def _clusters(index: DataFrame, contents: DataFrame, rule: Rule) -> DataFrame:
+    """``key, n, centre, n_centre, dist, delta, sketch``: every set's pivot and its difference from it.
 
     In each round the pivot of an index list's size block is one of the
     centres there; every other centre tries the pivot that it shares most
@@ -301,7 +311,7 @@ def _clusters(index: DataFrame, contents: DataFrame) -> DataFrame:
     """
     keys = index.select("key", "n").distinct()
     at = durable(keys.withColumn("centre", F.col("key")), "clusters")
-    entries = index.withColumn("block", _size_block("n"))
+    entries = index.withColumn("block", _size_block("n", rule))
     for turn in range(PIVOT_ROUNDS):
         own = entries.join(at.where("key = centre").select("key"), "key", "left_semi").withColumn("draw", F.xxhash64("key", F.lit(turn)))
         pivots = own.groupBy("token", "block").agg(F.min(F.struct("draw", "key")).alias("p")).select("token", "block", F.col("p.draw").alias("low"), F.col("p.key").alias("pivot"))
@@ -313,7 +323,7 @@ def _clusters(index: DataFrame, contents: DataFrame) -> DataFrame:
             .groupBy("key")
             .agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
         )
-        near = _distances(tries.select(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")), contents).where("alike")
+        near = _distances(tries.select(F.col("key").alias("key_a"), F.col("pivot").alias("key_b")), contents, rule).where("alike")
         # A pivot may be gathered itself in the same round: follow the chains to their ends (draws fall along them).
         step = durable(near.select(F.col("key_a").alias("centre"), F.col("key_b").alias("up")), "chains")
         while True:
@@ -327,149 +337,272 @@ def _clusters(index: DataFrame, contents: DataFrame) -> DataFrame:
         release(at)
         release(step)
         at = moved
-    own = contents.select("key", "hashes")
+    own = contents.select("key", "hashes", "sketch")
     pivot = contents.select(F.col("key").alias("centre"), F.col("hashes").alias("pivot"))
     both = at.join(own, "key").join(pivot, "centre").withColumn("delta", F.concat(F.array_except("hashes", "pivot"), F.array_except("pivot", "hashes")))
     far = 3 * F.size("delta") > F.col("n") + F.size("pivot")
     return durable(
         both.select(
             "key", "n", F.when(far, F.col("key")).otherwise(F.col("centre")).alias("centre"), F.when(far, F.col("n")).otherwise(F.size("pivot")).alias("n_centre"),
-            F.when(far, 0).otherwise(F.size("delta")).alias("dist"), F.when(far, F.array().cast("array<bigint>")).otherwise(F.col("delta")).alias("delta"),
+            F.when(far, 0).otherwise(F.size("delta")).alias("dist"), F.when(far, F.array().cast("array<bigint>")).otherwise(F.col("delta")).alias("delta"), "sketch",
         ),
         "clusters",
     )
 
 
-def _within(clusters: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: links between members of one cluster that are in different components so far.
+#: An entry of a list: set, its size, length and position in what is compared, and its cluster (null inside one).
+ENTRY = ("list", "key", "n", "size", "pos", "centre")
 
-    The distance of two members is that of their differences from the pivot.
-    If these have nothing in common and the members link, the sum of the two
-    sizes is within the budget of the members; the budget is the largest number
-    of the right parity up to 3/37 of the sizes, and a member is larger than
-    the pivot by its difference at most, so each difference is within the
-    member's budget with the pivot, and both link with it.  So only pairs that
-    share a difference are left.
+
+def _differences(clusters: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+    """``ENTRY`` rows of the lists of each cluster's differences from its pivot.
+
+    The distance of two members is that of their differences.  If these have
+    nothing in common and the members a, b link, then |a| + |b| of the
+    differences is at most c times the members' sizes, where c = (den - num) /
+    (den + num).  As b is larger than the pivot by its difference at most, |a|
+    is at most c times the sizes of a and the pivot: a links with the pivot,
+    and so does b.  So only pairs that share a difference are left.  Clusters
+    inside one component have no lists.
     """
-    own = clusters.where("dist > 0").join(roots.select(F.col("node").alias("key"), "root"), "key")
+    own = clusters.where("dist > 0").join(labels.select(F.col("node").alias("key"), "root"), "key")
     split = own.groupBy("centre").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("centre")
-    rows = own.join(split, "centre", "left_semi").select("centre", "key", "n", "root", "dist", F.explode("delta").alias("token"))
-    frequent = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("df > 1")
+    rows = own.join(split, "centre", "left_semi").select("centre", "key", "n", "dist", F.explode("delta").alias("token"))
+    frequent = rows.groupBy("centre", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rank = Window.partitionBy("key").orderBy("df", "token")
     every = Window.partitionBy("key")
-    entries = (
+    return (
         rows.join(frequent, ["centre", "token"])
-        .withColumn("pos", F.col("dist") - F.count(F.lit(1)).over(every) + F.row_number().over(rank) - 1)
-        .where("lo <> hi")
-        .where(F.col("pos") <= _budget_bound(F.col("n"), F.col("n") * DEN / NUM))
-    )
-    cols = ("key", "n", "root", "dist", "pos")
-    a = entries.select("centre", "token", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = entries.select("centre", "token", *[F.col(c).alias(f"{c}_b") for c in cols])
-    pairs = (
-        a.join(b, ["centre", "token"])
-        .where("key_a < key_b and root_a <> root_b")
-        .where(_room("n_a", "n_b", "pos_a", "pos_b", "dist_a", "dist_b"))
-        .groupBy("key_a", "key_b")
-        .agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    )
-    delta = clusters.select("key", "delta")
-    both = pairs.join(delta.select(F.col("key").alias("key_a"), F.col("delta").alias("delta_a")), "key_a").join(
-        delta.select(F.col("key").alias("key_b"), F.col("delta").alias("delta_b")), "key_b"
+        .withColumn("pos", (F.col("dist") - F.count(F.lit(1)).over(every) + F.row_number().over(rank) - 1).cast("int"))
+        .where(F.col("pos") <= F.lit(rule.den - rule.num) * F.col("n") / F.lit(rule.num))  # no budget of this set is larger
+        .select(F.xxhash64("centre", "token").alias("list"), "key", "n", F.col("dist").alias("size"), "pos", F.lit(None).cast("long").alias("centre"))
     )
-    distance = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
-    return both.where(distance <= _budget(F.col("n_a"), F.col("n_b"))).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
-def _mixed_lists(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    """Entries with their component ``root``, without the lists inside one component or one cluster: these are skipped whole."""
-    own = entries.join(roots.select(F.col("node").alias("key"), "root"), "key")
-    ends = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("centre").alias("low"), F.max("centre").alias("high"))
-    return own.join(ends.where("lo <> hi and low <> high").select("token"), "token", "left_semi")
+def _open_lists(entries: DataFrame, labels: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Entries with their component ``root``, ``df`` and ``sketch``, without the lists inside one component or one cluster: these are skipped whole."""
+    own = entries.join(labels.select(F.col("node").alias("key"), "root"), "key")
+    ends = own.groupBy("list").agg(
+        F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("centre").alias("low"), F.max("centre").alias("high")
+    )
+    left = own.join(ends.where("lo <> hi and (low is null or low <> high)").select("list", "df"), "list")
+    return left.join(clusters.select("key", "sketch"), "key")
 
 
-def _trials(entries: DataFrame, turn: int) -> DataFrame:
-    """``key_a, key_b``: a few likely links for every two components of different clusters.
+def _units(entries: DataFrame, rule: Rule) -> DataFrame:
+    """Entries dealt to ``unit``s that are compared at once: a short list, or two chunks (``side`` 0 and 1) of a long one.
 
-    In each size block of a list every entry meets two drawn ones; of the
-    pairs between two components those met most often are tried.
+    Chunks are parts of one size block and one position block.  Two of them
+    are paired only if their sizes, least positions, components and clusters
+    leave room for a link.
     """
-    rows = entries.withColumn("block", _size_block("n")).withColumn("draw", F.xxhash64("key", "token", F.lit(turn)))
-    drawn = F.struct("draw", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "centre", "n", "pos")])
-    picks = rows.groupBy("token", "block").agg(F.min(drawn).alias("lo"), F.max(drawn).alias("hi"))
-    picks = picks.select("token", "block", F.explode(F.array("lo", "hi")).alias("p")).select("token", "block", "p.*").drop("draw")
-    met = (
-        rows.join(picks, ["token", "block"])
-        .where(f"root <> root_b and centre <> centre_b and {DEN} * least(n, n_b) >= {NUM} * greatest(n, n_b)")
-        .where(_room("n", "n_b", "pos", "pos_b"))
-        .groupBy(F.least("root", "root_b").alias("r"), F.greatest("root", "root_b").alias("q"), F.least("key", "key_b").alias("key_a"), F.greatest("key", "key_b").alias("key_b"))
-        .agg(F.count(F.lit(1)).alias("times"))
+    cols = [*ENTRY[1:], "root", "sketch"]
+    short = entries.where(f"df <= {CHUNK}").select(F.col("list").alias("unit"), F.lit(0).cast("byte").alias("side"), *cols)
+    most = F.lit(rule.den - rule.num) * F.col("n") / F.lit(rule.num)
+    long = entries.where(f"df > {CHUNK}").withColumn("block", _size_block("n", rule)).withColumn("step", F.floor(F.lit(8) * F.col("pos") / (most + 1)).cast("int"))
+    parts = long.groupBy("list", "block", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("long").alias("parts"))
+    long = long.join(parts, ["list", "block", "step"]).withColumn("chunk", F.xxhash64("block", "step", F.pmod(F.xxhash64("key", "list"), "parts")))
+    heads = long.groupBy("list", "block", "chunk").agg(
+        F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("centre").alias("low"), F.max("centre").alias("high")
+    )
+    a = heads.select("list", *[F.col(c).alias(f"{c}_a") for c in heads.columns[1:]])
+    b = heads.select("list", *[F.col(c).alias(f"{c}_b") for c in heads.columns[1:]])
+    pairs = (
+        a.join(b, "list")
+        .where("abs(block_a - block_b) <= 1 and chunk_a <= chunk_b")
+        .where(f"{rule.den} * most_a >= {rule.num} * least_b and {rule.den} * most_b >= {rule.num} * least_a")
+        .where(F.col("pos_a") + F.col("pos_b") <= F.lit(rule.den - rule.num) * (F.col("most_a") + F.col("most_b")) / F.lit(rule.num + rule.den))
+        .where("least(lo_a, lo_b) <> greatest(hi_a, hi_b) and (low_a is null or least(low_a, low_b) <> greatest(high_a, high_b))")
+        .select("list", "chunk_a", "chunk_b", F.xxhash64("list", "chunk_a", "chunk_b").alias("unit"))
     )
-    best = Window.partitionBy("r", "q").orderBy(F.desc("times"), "key_a", "key_b")
-    return met.withColumn("k", F.row_number().over(best)).where(f"k <= {TRIALS}").select("key_a", "key_b")
+    first = long.join(pairs.withColumnRenamed("chunk_a", "chunk"), ["list", "chunk"]).select("unit", F.lit(0).cast("byte").alias("side"), *cols)
+    second = long.join(pairs.where("chunk_a <> chunk_b").withColumnRenamed("chunk_b", "chunk"), ["list", "chunk"]).select("unit", F.lit(1).cast("byte").alias("side"), *cols)
+    return short.unionByName(first).unionByName(second)
 
 
-def _across(entries: DataFrame) -> DataFrame:
-    """``key_a, key_b``: all pairs between clusters and components that lists, sizes and positions allow.
+def _compared(own: dict[str, np.ndarray], likely: bool, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of one unit that may link, and the bits in which their sketches differ.
 
-    Blocks of a list (one cluster and size block) are paired first, by their
-    least position and extreme sizes; only the surviving ones are opened.
+    The elements before the first common one differ, and so do those after it
+    that the longer remainder has in excess.  ``likely``: only the nearest
+    partner of each entry.
     """
-    rows = entries.withColumn("block", _size_block("n"))
-    heads = rows.groupBy("token", "centre", "block").agg(F.min("pos").alias("pos"), F.min("n").alias("least"), F.max("n").alias("most"))
-    cols = ("centre", "block", "pos", "least", "most")
-    a = heads.select("token", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = heads.select("token", *[F.col(c).alias(f"{c}_b") for c in cols])
-    blocks = (
-        a.join(b, "token")
-        .where("centre_a < centre_b and abs(block_a - block_b) <= 1")
-        .where(f"{DEN} * most_a >= {NUM} * least_b and {DEN} * most_b >= {NUM} * least_a")
-        .where(F.col("pos_a") + F.col("pos_b") <= _budget_bound(F.col("most_a"), F.col("most_b")))
-        .select("token", "centre_a", "block_a", "centre_b", "block_b")
-    )
-    own = ("key", "n", "pos", "root")
-    left = rows.select("token", F.col("centre").alias("centre_a"), F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in own])
-    right = rows.select("token", F.col("centre").alias("centre_b"), F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in own])
-    return (
-        left.join(blocks, ["token", "centre_a", "block_a"])
-        .join(right, ["token", "centre_b", "block_b"])
-        .where("root_a <> root_b")
-        .where(f"{DEN} * least(n_a, n_b) >= {NUM} * greatest(n_a, n_b)")
-        .where(_room("n_a", "n_b", "pos_a", "pos_b"))
-        .select("key_a", "key_b")
-        .distinct()
-    )
+    a = np.flatnonzero(own["side"] == 0)
+    b = np.flatnonzero(own["side"] == 1)
+    alone = not len(b)
+    b = a if alone else b
+    n, pos, rest = own["n"], own["pos"], own["size"] - own["pos"]
+    room = rule.budget(n[a][:, None], n[b][None, :])
+    ok = pos[a][:, None] + pos[b][None, :] + np.abs(rest[a][:, None] - rest[b][None, :]) <= room
+    ok &= own["root"][a][:, None] != own["root"][b][None, :]
+    ok &= own["group"][a][:, None] != own["group"][b][None, :]
+    if alone:
+        ok = np.triu(ok, 1)
+    x, y = np.nonzero(ok)
+    near = np.empty(len(x), np.int64)
+    bits = own["sketch"]
+    for at in range(0, len(x), 1 << 16):
+        part = slice(at, at + (1 << 16))
+        near[part] = np.bitwise_count(bits[a[x[part]]] ^ bits[b[y[part]]]).sum(1)
+    left = near <= room[x, y]
+    x, y, near = a[x[left]], b[y[left]], near[left]
+    if likely and len(x):
+        keep = np.zeros(len(x), bool)
+        for end in (x, y):
+            order = np.lexsort((near, end))
+            keep[order[np.concatenate([[True], end[order][1:] != end[order][:-1]])]] = True
+        x, y, near = x[keep], y[keep], near[keep]
+    return x, y, near
+
+
+def _candidates(entries: DataFrame, likely: bool, rule: Rule) -> DataFrame:
+    """``key_a, key_b, near``: pairs of different components that a list, their sizes, positions and sketches allow; some more than once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the unit that may go on
+
+        def opened(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            whole = {c: table[c].to_numpy() for c in ("unit", "side", "key", "n", "size", "pos", "root")}
+            centre = table["centre"]
+            # Inside a cluster, each set is a group of its own.
+            whole["group"] = np.where(centre.is_null().to_numpy(), whole["key"], centre.fill_null(0).to_numpy())
+            whole["sketch"] = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            unit = whole.pop("unit")
+            edges = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+            out = []
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                if end - at > 1:
+                    x, y, near = _compared({c: v[at:end] for c, v in whole.items()}, likely, rule)
+                    if len(x):
+                        key = whole["key"][at:end]
+                        out.append((np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), near))
+            if out:
+                arrays = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["key_a", "key_b", "near"])
 
-def _links(index: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``key`` of every indexed set, and links ``a, b``, enough to connect every two linked sets."""
-    clusters = _clusters(index, contents)
-    nodes = clusters.select(F.col("key").alias("node"))
-    direct = clusters.where("key <> centre").where(F.col("dist") <= _budget(F.col("n"), F.col("n_centre")))
-    found = direct.select(F.col("key").alias("a"), F.col("centre").alias("b"))
-    roots = components(nodes, found)
-    found = durable(found.unionByName(_within(clusters, roots)), "links")
-    release(roots)
-    roots = components(nodes, found)
-    placed = index.join(clusters.select("key", "centre"), "key")
-    entries = durable(_mixed_lists(placed, roots), "mixed")
-    release(roots)
-    # What a few likely pairs connect need not be looked at again.
-    for turn in range(TRIAL_ROUNDS):
-        likely = _distances(_trials(entries, turn), contents).where("linked")
-        found = durable(found.unionByName(likely.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), "links")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column("unit").to_numpy()
+            cut = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on in the next batch
+            if cut:
+                yield from opened([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from opened(held)
+
+    dealt = _units(entries, rule).repartition("unit").sortWithinPartitions("unit")
+    found = dealt.mapInArrow(run, "key_a long, key_b long, near long")
+    if not likely:
+        return found.select("key_a", "key_b").distinct()
+    # The nearest partner of every set, over all lists.
+    ends = found.select(F.explode(F.array("key_a", "key_b")).alias("key"), F.struct("near", "key_a", "key_b").alias("p"))
+    return ends.groupBy("key").agg(F.min("p").alias("p")).select("p.key_a", "p.key_b").distinct()
+
+
+def _checked(pairs: DataFrame, clusters: DataFrame, contents: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b``: the linked ones of ``pairs``; inside a cluster by the two differences from the pivot, else by the sets."""
+    own = clusters.select("key", "centre")
+    placed = durable(
+        pairs.join(own.withColumnsRenamed({"key": "key_a", "centre": "centre_a"}), "key_a").join(own.withColumnsRenamed({"key": "key_b", "centre": "centre_b"}), "key_b"), "pairs"
+    )
+    delta = clusters.select("key", "n", "delta")
+    inside = (
+        placed.where("centre_a = centre_b").select("key_a", "key_b")
+        .join(delta.withColumnsRenamed({"key": "key_a", "n": "n_a", "delta": "delta_a"}), "key_a")
+        .join(delta.withColumnsRenamed({"key": "key_b", "n": "n_b", "delta": "delta_b"}), "key_b")
+        .where(F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b")) <= rule.budget(F.col("n_a"), F.col("n_b")))
+    )
+    across = _distances(placed.where("centre_a <> centre_b").select("key_a", "key_b"), contents, rule).where("linked")
+    ends = (F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return inside.select(*ends).unionByName(across.select(*ends))
+
+
+def _links(index: DataFrame, contents: DataFrame, rule: Rule) -> DataFrame:
+    """``node, root``: the components of all indexed sets under links."""
+    clusters = _clusters(index, contents, rule)
+    labels = durable(clusters.select(F.col("key").alias("node"), F.col("key").alias("root")), "labels")
+    direct = clusters.where("key <> centre").where(F.col("dist") <= rule.budget(F.col("n"), F.col("n_centre")))
+    labels, _ = merged(labels, direct.select(F.col("key").alias("a"), F.col("centre").alias("b")))
+    placed = index.join(clusters.select("key", "centre"), "key").select(F.col("token").alias("list"), "key", "n", F.col("n").alias("size"), "pos", "centre")
+    entries = durable(placed.unionByName(_differences(clusters, labels, rule)), "entries")
+    for likely in [*[True] * TRIAL_ROUNDS, False]:
+        left = durable(_open_lists(entries, labels, clusters), "open")
         release(entries)
-        roots = components(nodes, found)
-        entries = durable(_mixed_lists(placed, roots), "mixed")
-        release(roots)
-    linked = _distances(_across(entries), contents).where("linked")
-    return nodes, found.unionByName(linked.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+        entries = left.select(*ENTRY)  # what is inside one component by now need not be read again
+        entries._loomquery_path = left._loomquery_path
+        labels, some = merged(labels, _checked(_candidates(left, likely, rule), clusters, contents, rule))
+        if likely and not some:
+            labels, _ = merged(labels, _checked(_candidates(left, False, rule), clusters, contents, rule))
+            break
+    release(entries)
+    release(clusters)
+    return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
+    """``labels`` (node, root) after links (a, b) between nodes have joined their roots, and whether any did.
+
+    Links between roots are first thinned to a forest in each partition.
+    """
+    of = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    to = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = links.join(of, "a").join(to, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    edges = durable(pairs.mapInArrow(_forest, "a long, b long"), "edges")
+    if edges.isEmpty():
+        release(edges)
+        return labels, False
+    tops = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    lower = edges.select(F.col("a").alias("node")).distinct()
+    if not tops.select("node").unionByName(lower).groupBy("node").count().where("count > 1").isEmpty():
+        nodes = lower.unionByName(tops.select("node")).distinct()
+        tops = components(nodes, edges)  # trees of several partitions meet
+    joined = labels.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    out = durable(joined.select("node", F.coalesce("top", "root").alias("root")), "labels")
+    for old in (edges, tops, labels):
+        release(old)
+    return out, True
+
+
+#: Links that a task thins at once.
+FOREST = 1 << 17
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) -> for every node that has a smaller one in its tree, the link with the smallest; ``FOREST`` links at a time."""
+    up: dict[int, int] = {}
+    seen = 0
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up.setdefault(y, y)
+        return x
+
+    def out() -> pa.RecordBatch:
+        ends = [(top(x), x) for x in list(up)]
+        ends = [(a, b) for a, b in ends if a != b]
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in ends], pa.int64()), pa.array([b for _, b in ends], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        seen += batch.num_rows
+        if seen >= FOREST:
+            yield out()
+            up.clear()
+            seen = 0
+    if up:
+        yield out()
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root``: connected components of ``links`` (a, b) over ``nodes`` (node), by label falling and pointer jumping.
 
-    Each round is written out; only sums of changes reach the driver.
+    Each round is written out; only whether there was a change reaches the driver.
     """
     both = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = durable(nodes.select("node", F.col("node").alias("root")), "labels")
@@ -493,24 +626,25 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
-def _roots(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame]:
+def _roots(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """``_members`` of the table, and ``node, root`` of the indexed sets; any other set is a component by itself."""
     counted = int(COUNTED * 2**64)
-    members = durable(_members(docs, id_col, text_col, words, counted), "members")
+    members = durable(_members(docs, id_col, text_col, rule, counted), "members")
     sets = members.where("key is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("n_counted").alias("n_counted"))
-    index = durable(_index(docs, sets, text_col, words, counted), "index")
+    index = durable(_index(docs, sets, text_col, rule, counted), "index")
     active = index.select("key").distinct()
-    contents = durable(_contents(docs, active, members, id_col, text_col, words), "sets")
-    nodes, links = _links(index, contents)
-    return members, components(nodes, links)
+    contents = durable(_contents(docs, active, members, id_col, text_col, rule), "sets")
+    labels = _links(index, contents, rule)
+    release(index)
+    release(contents)
+    return members, labels
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
-    Documents link when their sets' Jaccard similarity is 0.85 or more;
-    ``component_id`` is the smallest id reachable by links.  Documents with
-    equal sets are one set from the start.
+    Documents link by ``rule``; ``component_id`` is the smallest id reachable
+    by links.  Documents with equal sets are one set from the start.
 
     Null, empty or wordless text: no shingles, linked with nothing, its own
     component.  Null ids are kept and never name a component unless all ids in
@@ -520,7 +654,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     Sets and shingles are named by 64-bit hashes, so unequal ones coincide
     with a chance of about n^2 / 2^65.
     """
-    members, roots = _roots(docs, id_col, text_col, words)
+    members, roots = _roots(docs, id_col, text_col, rule)
     named = members.where("key is not null")
     lowest = named.groupBy("key").agg(F.min("doc_id").alias("low"))
     by_set = roots.select(F.col("node").alias("key"), "root").join(lowest, "key")
@@ -533,13 +667,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = DEFAULT) -> DataFrame:
     """One row of each component, the one with the smallest id (null last), then set; rows without words all stay.  Columns are unchanged.
 
     Rows are told apart by id and text, so those that share an id, or have
     none, fall together only if their texts are linked.
     """
-    members, roots = _roots(docs, id_col, text_col, WORDS)
+    members, roots = _roots(docs, id_col, text_col, rule)
     named = members.where("key is not null").join(roots.select(F.col("node").alias("key"), "root"), "key", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "sig")).alias("k")
     keep = named.groupBy(F.coalesce("root", "key").alias("root")).agg(first).select(

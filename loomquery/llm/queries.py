@@ -30,7 +30,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets have a Jaccard similarity of at least 0.85."""
-    return jaccard_join.join(_table(spark, sf_dir, "documents"), words=4)
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), rule=jaccard_join.Rule(4, 17, 20))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,12 @@ SF = "/root/testdata/sf0.001"
 # N-gram Jaccard join
 
 
-def plain_components(rows):
+def plain_components(rows, words=4, share=85):
     """(set size, smallest id in the component) of each row, by comparing all pairs."""
     sets = []
     for _, t in rows:
         w = bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()).split()
-        sets.append(frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset())
+        sets.append(frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset())
     up = list(range(len(rows)))
 
     def top(x):
@@ -37,7 +37,7 @@ def plain_components(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= share * len(a | b):
                 up[top(i)] = top(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -80,6 +80,60 @@ def test_join_equals_comparing_all_pairs(spark):
     assert got == want
 
 
+def test_join_by_another_rule(spark):
+    rows = list(enumerate(near_copies(11) + ["a b c d", "a b c d e", "a b c d e f g h", "a b c d e f g h i", "a b c d e f g h i j k"]))
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, DOCS), rule=jaccard_join.Rule(5, 4, 5)).collect())
+    assert got == plain_components(rows, 5, 80)
+
+
+@pytest.mark.parametrize("chunk", [7, 1024])
+def test_join_of_a_hot_group_of_near_copies(spark, monkeypatch, chunk):
+    """Hundreds of texts a few words from one base, most of them not linked with it; lists in parts and whole."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base, rows = [word() for _ in range(90)], []
+    spots = rng.sample(range(90), 8)
+    for i in range(260):
+        own = list(base)
+        for at in rng.sample(spots, rng.choice([1, 2, 2, 3, 4])):
+            own[at] = f"other{rng.randrange(3)}"
+        for _ in range(rng.choice([0, 0, 1])):
+            own[rng.randrange(90)] = word()
+        rows.append((i, " ".join(own)))
+    far = list(base)
+    far[5:45] = [word() for _ in range(40)]
+    rows += [(1000, " ".join(base)), (1001, " ".join(far)), (1002, " ".join(far[:-1]))]
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, DOCS)).collect())
+    want = plain_components(rows)
+    assert 5 < len({c for _, _, c in want}) < len(rows) - 50
+    assert got == want
+
+
+def test_join_of_a_very_long_text(spark):
+    rng = random.Random(13)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    other = [*long[:30_000], *(f"x{i}" for i in range(1500)), *long[31_500:]]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:40_000])), (4, "y" * 300_000), (5, "y" * 300_000 + " z")]
+    got = sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == plain_components(rows) and got[1][2] == 1
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1)), st.sets(st.integers(0, 2**64 - 1)), st.sets(st.integers(0, 2**64 - 1)))
+def test_sketches_differ_no_more_than_their_sets(common, a, b):
+    x, y = (np.frombuffer(jaccard_join.sketch(np.asarray(sorted(common | s), np.uint64)), np.uint64) for s in (a, b))
+    assert np.bitwise_count(x ^ y).sum() <= len((common | a) ^ (common | b))
+
+
+def test_merged_labels(spark):
+    labels = spark.createDataFrame([(i, i - i % 3) for i in range(30)], "node long, root long")
+    links = spark.createDataFrame([(1, 4), (5, 10), (20, 22), (7, 8), (22, 28), (29, 18)], "a long, b long").repartition(4)
+    out, some = jaccard_join.merged(labels, links)
+    assert some and {r["node"]: r["root"] for r in out.collect()} == {i: 0 if i < 6 or 9 <= i < 12 else 18 if 18 <= i < 24 or i >= 27 else i - i % 3 for i in range(30)}
+    assert not jaccard_join.merged(out, links)[1]
+
+
 def test_join_of_little(spark):
     docs = spark.createDataFrame([(1, None), (None, "a b c d e"), (4, "a b c d e"), (None, None)], DOCS)
     got = sorted((tuple(r) for r in jaccard_join.join(docs).collect()), key=str)
@@ -102,9 +156,10 @@ def test_star_distances_never_lose_a_link(spark):
 def test_deduplicate_keeps_one_of_each_component(spark):
     rows = [(i, t, "x") for i, t in enumerate(near_copies(3, groups=2) + [None, ""])]
     docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, key string")
-    kept = jaccard_join.deduplicate(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in plain_components([r[:2] for r in rows])})
+    for rule, words, share in ((jaccard_join.DEFAULT, 5, 80), (jaccard_join.Rule(), 4, 85)):
+        kept = jaccard_join.deduplicate(docs, rule=rule)
+        assert kept.columns == docs.columns
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in plain_components([r[:2] for r in rows], words, share)})
 
 
 def test_deduplicate_tells_rows_of_null_or_equal_id_apart(spark):
@@ -380,7 +435,7 @@ def test_pipeline_stages_in_turn(spark):
         left = docs.count()
         assert 0 < left <= n, name
         n = left
-    keep = plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    keep = plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 5, 80)
     assert all(d == c for d, _, c in keep)
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
