@@ -37,8 +37,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked documents stays: the one with the smallest id."""
-    return jaccard_join.deduplicate(docs)
+    """One document of each component of linked documents (five words, 0.8) stays: the one with the smallest id."""
+    return jaccard_join.deduplicate(docs, rule=jaccard_join.Rule(5, 4, 5))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
