@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,11 @@ def parser() -> argparse.ArgumentParser:
     serve = commands.add_parser("serve", help="answer HTTP requests")
     serve.add_argument("--host", default="127.0.0.1")
     serve.add_argument("--port", type=int, default=8000)
+    serve.add_argument("--origin", help="allowed origin of cross-site requests")
+    train = commands.add_parser("train", help="train a projection on a JSON array of strings and store it")
+    train.add_argument("-f", "--file", help="JSON file; standard input if absent")
+    for command in (search, serve, train):
+        command.add_argument("--model-path", required=command is train, help="folder of the stored projection")
     return out
 
 
@@ -35,7 +41,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if args.command == "serve":
         from .server import serve
 
-        serve(spark, args.host, args.port)
+        serve(spark, args.host, args.port, args.model_path, args.origin)
         return 0
     try:
         if args.file:
@@ -43,11 +49,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
                 items = io.parse_json(f)
         else:
             items = io.parse_json(sys.stdin)
-        engine = SearchEngine(spark, args.strategy)
+        if args.command == "train":
+            SearchEngine(spark, "projection").train(io.need_strings(items), model_path=args.model_path)
+            return 0
+        engine = SearchEngine(spark, args.strategy, model_path=args.model_path)
         if args.text_fields:
             table = io.from_objects(spark, items)
-            import time
-
             start = time.perf_counter()
             found = engine.search_objects(args.query, table, field_list(args.text_fields), args.top_k).collect()
             took = (time.perf_counter() - start) * 1000

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as tx
-from .operators import bm25, cascade, neural, projection, rptree
+from .operators import bm25, cascade, held, neural, rptree
+from .operators import projection as maps
 
 Strategy = Callable[..., DataFrame]
 _STRATEGIES: dict[str, tuple[Strategy, bool]] = {}
@@ -28,7 +29,7 @@ def register(name: str, needs_projection: bool = False) -> Callable[[Strategy],
 
 
 register("lexical")(bm25.search)
-register("projection", True)(projection.search)
+register("projection", True)(maps.search)
 register("neural")(neural.search)
 register("cascade", True)(cascade.search)
 register("rptree")(rptree.search)
@@ -51,13 +52,24 @@ def resolve(name: str) -> str:
 class SearchEngine:
     """Search with one strategy and its options.
 
-    ``projection`` is a trained map (see ``operators.projection``); strategies
-    that need one train it on the searched corpus if none is given.
+    Strategies that need a projection take it from ``projection`` (an array),
+    from ``model_path`` (see ``operators.projection.save``) or from ``train``;
+    without any, each search trains one on its own corpus and forgets it.
     """
 
-    def __init__(self, spark: SparkSession, strategy: str = "auto", projection: np.ndarray | None = None, **options):
+    def __init__(self, spark: SparkSession, strategy: str = "auto", projection: np.ndarray | None = None, model_path: str | None = None, **options):
         self.spark, self.options, self._w = spark, options, projection
         self.strategy = resolve(strategy)
+        if model_path and projection is None and _STRATEGIES[self.strategy][1]:
+            self._w = maps.load(spark, model_path)
+
+    def train(self, docs: DataFrame | Sequence[str], text_col: str = "document", id_col: str = "index", model_path: str | None = None) -> SearchEngine:
+        """Train the projection of later searches on one corpus, and store it if a path is given."""
+        if _STRATEGIES[self.strategy][1]:
+            self._w = maps.train_on(self._corpus(docs, text_col, id_col))
+            if model_path:
+                maps.save(self.spark, self._w, model_path)
+        return self
 
     def _corpus(self, docs: DataFrame | Sequence[str], text_col: str, id_col: str) -> DataFrame:
         if isinstance(docs, DataFrame):
@@ -70,9 +82,7 @@ class SearchEngine:
         f, needs_projection = _STRATEGIES[self.strategy]
         args = (corpus, query)
         if needs_projection:
-            if self._w is None:
-                self._w = projection.train_on(corpus)
-            args += (self._w,)
+            args += (maps.train_on(corpus) if self._w is None else self._w,)
         found = f(*args, top_k=top_k, **self.options)
         return corpus.join(F.broadcast(found), "index").select("rank", "index", "score", "document").orderBy("rank")  # top_k rows
 
@@ -89,4 +99,6 @@ class SearchEngine:
         """Collected rows and the milliseconds that they took."""
         start = time.perf_counter()
         rows = self.search(query, docs, top_k, **kwargs).collect()
-        return rows, (time.perf_counter() - start) * 1000
+        took = (time.perf_counter() - start) * 1000
+        held.release()
+        return rows, took

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import SearchEngine, resolve
-from .operators import metrics
+from .operators import held, metrics
 
 
 def evaluate_strategy(spark: SparkSession, strategy: str, docs: DataFrame, queries: DataFrame, qrels: DataFrame, runs: int = 1, fetch: int = 100, **options) -> DataFrame:
@@ -19,6 +19,8 @@ def evaluate_strategy(spark: SparkSession, strategy: str, docs: DataFrame, queri
     """
     name = resolve(strategy)
     engine = SearchEngine(spark, name, **options)
+    if not {"projection", "model_path"} & set(options):
+        engine.train(docs)
     fetch = min(fetch, max(1, docs.count()))
     rows, times = [], []
     for q in queries.orderBy("query_id").collect():
@@ -27,7 +29,7 @@ def evaluate_strategy(spark: SparkSession, strategy: str, docs: DataFrame, queri
             start = time.perf_counter()
             found = engine.search(q["query"], docs, fetch).select("rank", "index").collect()
             took.append((time.perf_counter() - start) * 1000)
-        spark.catalog.clearCache()
+        held.release()
         rows += [(q["query_id"], r["rank"], r["index"]) for r in found]
         times.append((q["query_id"], sum(took) / len(took)))
     results = spark.createDataFrame(rows, "query_id long, rank long, index long")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import ranking
+from .held import hold
 
 K1, B = 1.5, 0.75
 
@@ -42,15 +43,14 @@ def _term_score(i: int, k1: float, b: float) -> Column:
 def score_columns(corpus: DataFrame, queries: dict, k1: float = K1, b: float = B, cache: bool = True, keep: tuple[str, ...] = ("index",)) -> tuple[DataFrame, dict]:
     """The corpus with ``n`` and so on, and each query's score as a Column (0 for a query without terms).
 
-    The texts are read once: the narrow table of frequencies is cached (unless
-    ``cache`` is off) and serves the statistics and the scores.  The caller may
-    unpersist it with ``spark.catalog.clearCache()``; if it is lost, Spark
-    computes it anew.
+    The texts are read once: the narrow table of frequencies is held (unless
+    ``cache`` is off) and serves the statistics and the scores; ``held.release``
+    frees it.
     """
     stems = _terms(queries)
     freq = _frequencies(corpus, stems, keep)
     if cache:
-        freq = freq.persist()
+        freq = hold(freq)
     wide = freq.crossJoin(F.broadcast(_statistics(freq, stems)))  # one row
     at = {s: i for i, s in enumerate(stems)}
     scores = {}

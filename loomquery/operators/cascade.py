@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bm25, neural, projection, ranking
+from . import neural, projection, ranking
 from .models import Embedder, PairScorer
 
 STAGE1_K, STAGE2_K, DIRECT = 200, 50, 5000
@@ -21,20 +21,18 @@ def candidates(
     Up to ``sps_direct_threshold`` documents: the best by projection.  Beyond:
     the union of the best ``stage1_k`` by BM25 and by projection, by their
     larger score.  The two scales differ; ``merge="minmax"`` scales BM25 first.
-    Both scores come from one reading of the corpus.
+    Both scores come from one reading of the texts.
     """
     ranking.check_k(top_k)
     n = corpus.count()
     m = ranking.candidate_count(n, stage2_k)
-    both = projection.scores(corpus, query, w).persist() if n > sps_direct_threshold else projection.scores(corpus, query, w)
+    both = projection.scores(corpus, query, w)
     if n <= sps_direct_threshold:
         return ranking.top_k(both, m).select("rank", "index", "score")
-    if merge == "max_raw":
-        lexical = bm25.search(corpus, query, stage1_k).select("index", "score")
-    elif merge == "minmax":
-        lexical = ranking.top_k(both.select("index", F.col("bm25").alias("score")).where("score > 0"), stage1_k).select("index", "score")
-    else:
+    if merge not in ("max_raw", "minmax"):
         raise ValueError(f"unknown merge {merge!r}")
+    lexical = (ranking.min_max(both, "bm25") if merge == "minmax" else both).select("index", F.col("bm25").alias("score"))
+    lexical = ranking.top_k(lexical.where("score > 0"), stage1_k).select("index", "score")
     semantic = ranking.top_k(both, stage1_k).select("index", "score")
     return ranking.top_k(ranking.union_max(lexical, semantic), m).select("rank", "index", "score")
 

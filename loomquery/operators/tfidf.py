@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import ranking
+from .held import hold
 
 MAX_FEATURES = 5000
 
@@ -35,6 +36,18 @@ def weights(corpus: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     return raw.join(norms, "index").select("index", "term", (F.col("w") / F.greatest("norm", F.lit(1e-10))).alias("weight"))
 
 
+def query_weights(corpus: DataFrame, query: str, max_features: int = MAX_FEATURES) -> DataFrame:
+    """``term, w``: (1 + ln tf) * idf of the query's words that the corpus's vocabulary has."""
+    counts = term_counts(corpus)
+    n_docs = corpus.where(tx.not_blank("document")).agg(F.count(F.lit(1)).alias("n"))
+    return _weighted(corpus.sparkSession, query, vocabulary(counts, n_docs, max_features))
+
+
+def _weighted(spark: SparkSession, query: str, vocab: DataFrame) -> DataFrame:
+    asked = spark.range(1).select(F.lit(0).cast("long").alias("index"), F.lit(query).alias("document"))
+    return term_counts(asked).join(vocab, "term").select("term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+
+
 def search(corpus: DataFrame, query: str, top_k: int = 10, max_features: int = MAX_FEATURES) -> DataFrame:
     """``rank, index, score``: exact cosine of the query's and each document's weights.
 
@@ -46,14 +59,10 @@ def search(corpus: DataFrame, query: str, top_k: int = 10, max_features: int = M
     if not query.strip():
         return corpus.limit(0).select(F.lit(0).cast("long").alias("rank"), "index", F.lit(0.0).alias("score"))
     corpus = corpus.where(tx.not_blank("document"))
-    counts = term_counts(corpus)
+    counts = hold(term_counts(corpus))
     n_docs = corpus.agg(F.count(F.lit(1)).alias("n"))
     vocab = vocabulary(counts, n_docs, max_features)
-    q = (
-        term_counts(spark.range(1).select(F.lit(0).cast("long").alias("index"), F.lit(query).alias("document")))
-        .join(vocab, "term")
-        .select("term", ((1 + F.log("tf")) * F.col("idf")).alias("qw"))
-    )
+    q = _weighted(spark, query, vocab).withColumnRenamed("w", "qw")
     raw = counts.join(F.broadcast(vocab), "term").select("index", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     parts = raw.join(F.broadcast(q), "term", "left").groupBy("index").agg(
         F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn")
