@@ -32,7 +32,9 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """The vector over its length; lengths below 1e-10 count as that."""
-    return F.transform(_col(v), lambda x: x.cast("double") / F.greatest(norm(v), F.lit(EPS)))
+    # The length is bound to a name first; inside the inner function it would be taken for every element.
+    scaled = F.transform(F.array(F.greatest(norm(v), F.lit(EPS))), lambda n: F.transform(_col(v), lambda x: x.cast("double") / n))
+    return F.element_at(scaled, 1)
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -40,6 +42,16 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(EPS))
 
 
+def score_of(distance: Column | str) -> Column:
+    """Similarity of a cosine distance."""
+    return 1 - _col(distance)
+
+
+def zero_based(number: Column | str) -> Column:
+    """Index of a row that a store numbers from 1."""
+    return _col(number) - 1
+
+
 def text_literal(v: Column | str) -> Column:
     """``[x,y,...]`` with six decimals, as vector databases read it."""
     return F.concat(F.lit("["), F.array_join(F.transform(_col(v), lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
