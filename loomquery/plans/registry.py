@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import bm25, cascade, knn, metrics, neural, projection, ranking, rptree, tfidf
+from ..operators import bm25, cascade, knn, metrics, neural, projection, ranking, rptree, tfidf, vector_index
+from ..scratch import shared_path
 from ..sources import corpus as io
+from ..sources import vector_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,6 +75,54 @@ p as (select doc_id, stem, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1)
 s as (select query_id, doc_id, sum(part) as score from p join q using (stem) group by query_id, doc_id)"""
 
 
+# Words, projections by the sign map, and embeddings of documents (ids from 0) and of query 1 (id -1).
+_WORDS_SQL = f"""dw as (select doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}_]{{2,}}') as w
+      from (select doc_id, text from documents union all select -1, '{ONE}') x),
+wd as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from dw)"""
+
+
+def _sign(digest: str, j: str = "j") -> str:
+    """SQL of +1 where bit j of a hexadecimal digest is set, else -1."""
+    return f"case when ((instr('0123456789abcdef', substr({digest}, {j} // 4 + 1, 1)) - 1) >> (3 - {j} % 4)) & 1 = 1 then 1.0::double else -1.0::double end"
+
+
+_SPS_SQL = f"""{_WORDS_SQL},
+wh as (select doc_id, i, ('0x' || substr(md5(word), 1, 8))::bigint as h from wd),
+gh as (select doc_id, h from wh union all
+       select doc_id, (31 * h + nxt) % 4294967296 from (select doc_id, h, lead(h) over (partition by doc_id order by i) as nxt from wh) x where nxt is not null),
+fv as (select doc_id, h % 16384 as f, sum(case when (h >> 16) & 1 = 1 then 1.0::double else -1.0::double end) as v from gh group by doc_id, f),
+js as (select unnest(range(64)) as j),
+sm as (select f, j, {_sign('d')} as s from (select f, md5('f' || f) as d from (select unnest(range(16384)) as f) x) y cross join js),
+pv as (select doc_id, j, sum(v * s) as x from fv join sm using (f) where v <> 0 group by doc_id, j),
+pn as (select doc_id, greatest(sqrt(sum(x * x)), 1e-10) as n from pv group by doc_id),
+sp as (select d.doc_id, round(coalesce(c.x, 0), 12) as sps from documents d left join (
+       select a.doc_id, sum(a.x * b.x) / any_value(pn.n) / (select n from pn where doc_id = -1) as x
+       from pv a join pv b on b.doc_id = -1 and a.j = b.j join pn on pn.doc_id = a.doc_id where a.doc_id >= 0 group by a.doc_id) c using (doc_id)),
+bs as (select doc_id, sps, score as bm25 from sp join s using (doc_id) where query_id = 1),
+ex as (select min(sps) as ls, max(sps) as hs, min(bm25) as lb, max(bm25) as hb from bs),
+fu as (select doc_id, bm25, 0.3 * case when hs - ls < 1e-12 then 0.5 else (sps - ls) / (hs - ls) end
+       + 0.7 * case when hb - lb < 1e-12 then 0.5 else (bm25 - lb) / (hb - lb) end as score from bs cross join ex)"""
+
+_CANDIDATES_SQL = f"""{_SPS_SQL},
+lx as (select doc_id, bm25 as score, 0 as origin from fu where bm25 > 0 order by score desc, doc_id limit 200),
+sx as (select doc_id, score, 1 as origin from fu order by score desc, doc_id limit 200),
+un as (select doc_id, max(score) as score, min(origin) as origin from (select * from lx union all select * from sx) x group by doc_id),
+po as (select doc_id, score from un where (select n from c) > 5000 union all select doc_id, score from fu where (select n from c) <= 5000),
+ca as (select doc_id, score, row_number() over (order by score desc, doc_id) as place from po
+       qualify place <= (select greatest(50, least(n // 20, 500)) from c))"""
+
+
+def _cosine_sql(wanted: str) -> str:
+    """Common table expressions up to ``co(doc_id, cos)``: the cosine of the embeddings of query 1 and the documents that ``wanted`` selects."""
+    return f"""ew as (select doc_id, word, count(*) as k from wd where doc_id = -1 or doc_id in ({wanted}) group by doc_id, word),
+gr as (select word, md5(unnest(list_concat([word], list_transform(range(1, length(word) + 1), lambda p: substr('<' || word || '>', p, 3))))) as d from (select distinct word from ew) x),
+wv as (select word, j, avg({_sign('d')}) as x from gr cross join (select unnest(range(64)) as j) y group by word, j),
+ev as (select doc_id, j, sum(k * x) as x from ew join wv using (word) group by doc_id, j),
+en as (select doc_id, greatest(sqrt(sum(x * x)), 1e-10) as n from ev group by doc_id),
+co as (select a.doc_id, round(sum(a.x * b.x) / any_value(en.n) / (select n from en where doc_id = -1), 12) as cos
+       from ev a join ev b on b.doc_id = -1 and a.j = b.j join en on en.doc_id = a.doc_id where a.doc_id >= 0 group by a.doc_id)"""
+
+
 _TOP = "row_number() over (partition by query_id order by score desc, doc_id)"
 _RESULTS = f"""{_bm25_sql()},
 res as (select query_id, {_TOP} as rank, doc_id from s where score > 0 qualify {_TOP} <= 100),
@@ -183,16 +233,18 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.weights(_docs(spark, sf_dir)).select("index", "term", _r("weight"))
 
 
-@query(
-    f"""{_TFIDF},
-qt as (select term, count(*) as tf from (select unnest(regexp_extract_all(lower('the onre {ONE} and'), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term) group by term),
+_LONG = f"the onre {ONE} and"
+_TFIDF_TOP = f"""{_TFIDF},
+qt as (select term, count(*) as tf from (select unnest(regexp_extract_all(lower('{_LONG}'), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term) group by term),
 qw as (select term, (1 + ln(tf)) * idf as qw from qt join i using (term)),
 d as (select doc_id, sum(w * coalesce(qw, 0)) / greatest(sqrt(sum(w * w)) * (select sqrt(sum(qw * qw)) from qw), 1e-10) as score from r left join qw using (term) group by doc_id),
 a as (select doc_id, coalesce(score, 0) as score from (select doc_id from documents where regexp_matches(text, '\\S')) left join d using (doc_id))
 select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from a qualify rank <= 10"""
-)
+
+
+@query(_TFIDF_TOP)
 def tfidf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tfidf.search(_docs(spark, sf_dir), f"the onre {ONE} and", 10).select("rank", "index", _r("score"))
+    return tfidf.search(_docs(spark, sf_dir), _LONG, 10).select("rank", "index", _r("score"))
 
 
 # Vectors -------------------------------------------------------------------
@@ -247,16 +299,44 @@ def vector_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select("vec_id", vx.text_literal("embedding").alias("literal"))
 
 
+def _direction_sql(tree: int, node: int) -> str:
+    """SQL of the projection of ``v`` on the direction of a tree's node."""
+    return f"list_sum(list_transform(range(len(v)), lambda j: v[j + 1] * {_sign(f"md5('42 {tree} {node} ' || j // 64)", 'j % 64')}))"
+
+
+_LEVEL = f"""with recursive e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings where embedding is not null),
+t as (select unnest([0, 1]) as tree),
+r as (select vec_id, tree, case when tree = 0 then {_direction_sql(0, 1)} else {_direction_sql(1, 1)} end as p from e cross join t),
+m as (select tree, quantile_disc(p, 0.5) as threshold from r group by tree)"""
+
+
+@query(f"{_LEVEL} select vec_id as index, tree, (2 + (p > threshold)::int)::bigint as node from r join m using (tree)")
+def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first level of two trees: leaf size and tables are such that each root is split once."""
+    docs = _table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("index"), F.col("embedding").alias("v"))
+    assign, _ = rptree.build(docs, trees=2, leaf_size=-(-docs.count() // 2))
+    return assign.select("index", "tree", "node")
+
+
+@query(f"{_KNN} select query_id, rank, vec_id as index, round(score, 6) as score from k")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours through a stored index of which every cell is read."""
+    table, path = _table(spark, sf_dir, "embeddings"), shared_path(spark, "vectors")
+    vector_index.build(table, path)
+    asked = table.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return vector_index.search(spark, path, asked, 10, probes=vector_index.MOST_CELLS).select("query_id", "rank", "index", _r("score"))
+
+
 @query(
-    """with e as (select vec_id, list_sum(list_transform(list_zip(embedding, range(1, len(embedding) + 1)), lambda z: z[1]::double * case when z[2] % 2 = 1 then 1 else -1 end)) as p from embeddings),
-m as (select median(p) as threshold from e)
-select vec_id, case when p <= threshold then 'left' else 'right' end as side from e cross join m"""
+    f"""{_VECS}, s as (select a.vec_id, {_COS} as score from x a cross join (select * from x order by vec_id limit 1) b)
+select vec_id as index, round(score, 6) as score from s"""
 )
-def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = F.transform("embedding", lambda x, i: x.cast("double") * F.when(i % 2 == 0, 1).otherwise(-1))
-    p = _table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(signed, F.lit(0.0), lambda s, x: s + x).alias("p"))
-    split = p.crossJoin(F.broadcast(p.agg(F.median("p").alias("threshold"))))  # one row
-    return split.select("vec_id", F.when(F.col("p") <= F.col("threshold"), "left").otherwise("right").alias("side"))
+def distance_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a store that numbers rows from 1 and gives distances, as results."""
+    table = _table(spark, sf_dir, "embeddings")
+    first = table.agg(F.min_by("embedding", "vec_id").alias("q")).first()["q"]
+    answers = table.select((F.col("vec_id") + 1).alias("id"), (1 - vx.cosine("embedding", vx.literal(first))).alias("distance"))
+    return vector_store.results(answers).select("index", _r("score"))
 
 
 # Scores and candidates -----------------------------------------------------
@@ -270,28 +350,29 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.min_max(bm25.scores(_docs(spark, sf_dir), ONE), "score").select("index", _r("score"))
 
 
-@query(
-    f"""{_bm25_sql()}, o as (select doc_id, score as a, dl::double as b from s join l using (doc_id) where query_id = 1),
-m as (select min(a) as la, max(a) as ha, min(b) as lb, max(b) as hb from o),
-f as (select doc_id, 0.3 * (b - lb) / (hb - lb) + 0.7 * (a - la) / (ha - la) as score from o cross join m)
-select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from f qualify rank <= 10"""
-)
-def fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide, by_query = bm25.score_columns(_docs(spark, sf_dir), {1: ONE})
-    both = ranking.min_max(wide.select("index", by_query[1].alias("a"), F.col("dl").cast("double").alias("b")), "a", "b")
-    fused = both.select("index", ranking.fused(F.col("b"), F.col("a"), 0.3).alias("score"))
-    return ranking.top_k(fused, 10).select("rank", "index", _r("score"))
+@query(f"{_bm25_sql()}, {_SPS_SQL} select doc_id as index, round(sps, 6) as sps from sp")
+def projection_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = projection.similarities(_docs(spark, sf_dir), {1: ONE}, projection.sign_map())
+    return found.select("index", F.round("sps0", 6).alias("sps"))
+
+
+@query(f"{_bm25_sql()}, {_SPS_SQL} select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from fu qualify rank <= 10")
+def sps_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.search(_docs(spark, sf_dir), ONE, projection.sign_map(), 10).select("rank", "index", _r("score"))
 
 
 @query(
-    f"""{_bm25_sql()}, t as (select query_id, doc_id, score from s where query_id in (1, 2) and score > 0 qualify {_TOP} <= 200),
-u as (select doc_id, max(score) as score, min(query_id) - 1 as origin from t group by doc_id)
-select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score, origin::int as origin from u qualify rank <= 50"""
+    f"""{_bm25_sql()}, {_SPS_SQL}, lx as (select doc_id, bm25 as score, 0 as origin from fu where bm25 > 0 order by score desc, doc_id limit 200),
+sx as (select doc_id, score, 1 as origin from fu order by score desc, doc_id limit 200),
+un as (select doc_id, max(score) as score, min(origin) as origin from (select * from lx union all select * from sx) x group by doc_id)
+select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score, origin::int as origin from un qualify rank <= 50"""
 )
 def candidate_union_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    both = ranking.union_max(bm25.search(docs, ASKED[1], 200), bm25.search(docs, ASKED[2], 200))
-    return ranking.top_k(both, 50).select("rank", "index", _r("score"), "origin")
+    """The cascade's union of the best by BM25 and by projection."""
+    both = projection.scores(_docs(spark, sf_dir), ONE, projection.sign_map())
+    lexical = ranking.top_k(both.select("index", F.col("bm25").alias("score")).where("score > 0"), 200)
+    union = ranking.union_max(lexical, ranking.top_k(both.select("index", "score"), 200))
+    return ranking.top_k(union, 50).select("rank", "index", _r("score"), "origin")
 
 
 @query("select count(*) as n, greatest(50, least(count(*) // 20, 500))::bigint as candidates from documents")
@@ -300,44 +381,51 @@ def cascade_k_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, ranking.candidate_count(n))], "n long, candidates long")
 
 
-def _projection(spark: SparkSession, sf_dir: str):
-    docs = _docs(spark, sf_dir)
-    return docs, projection.train_on(docs)
-
-
-@query()
-def sps_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return projection.search(*_reorder(_projection(spark, sf_dir)), 10)
-
-
-def _reorder(pair):
-    docs, w = pair
-    return docs, ONE, w
-
-
-@query()
+@query(f"{_bm25_sql()}, {_CANDIDATES_SQL} select place as rank, doc_id as index, round(score, 6) as score from ca where place <= 10")
 def cascade_skip_neural(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.search(*_reorder(_projection(spark, sf_dir)), top_k=10, skip_neural=True)
+    return cascade.search(_docs(spark, sf_dir), ONE, projection.sign_map(), 10, skip_neural=True).select("rank", "index", _r("score"))
 
 
-@query()
+@query(
+    f"""{_bm25_sql()}, {_CANDIDATES_SQL}, {_cosine_sql('select doc_id from ca')},
+sc as (select ca.doc_id, coalesce(cos, 0) as score from ca join documents using (doc_id) left join co using (doc_id) where regexp_matches(text, '\\S'))
+select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from sc qualify rank <= 10"""
+)
 def cascade_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.search(*_reorder(_projection(spark, sf_dir)), top_k=10)
+    return cascade.search(_docs(spark, sf_dir), ONE, projection.sign_map(), 10).select("rank", "index", _r("score"))
 
 
-@query()
+@query(
+    f"""{_bm25_sql()}, {_CANDIDATES_SQL}, {_cosine_sql('select doc_id from ca')},
+qw as (select distinct word from wd where doc_id = -1),
+ov as (select doc_id, count(distinct word) / (select count(*) from qw)::double as share from wd join qw using (word) where doc_id in (select doc_id from ca) group by doc_id),
+sc as (select ca.doc_id, place, round(coalesce(cos, 0) + coalesce(share, 0), 12) as score from ca left join co using (doc_id) left join ov using (doc_id))
+select row_number() over (order by score desc, place) as rank, doc_id as index, round(score, 6) as score from sc qualify rank <= 10"""
+)
 def cross_encoder_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cascade.search_v2(*_reorder(_projection(spark, sf_dir)), top_k=10)
+    return cascade.search_v2(_docs(spark, sf_dir), ONE, projection.sign_map(), 10).select("rank", "index", _r("score"))
 
 
-@query()
+@query(
+    f"""with {_WORDS_SQL}, {_cosine_sql('select doc_id from documents')},
+sc as (select doc_id, coalesce(cos, 0) as score from documents left join co using (doc_id) where regexp_matches(text, '\\S'))
+select row_number() over (order by score desc, doc_id) as rank, doc_id as index, round(score, 6) as score from sc qualify rank <= 10"""
+)
 def neural_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neural.search(_docs(spark, sf_dir), ONE, 10)
+    return neural.search(_docs(spark, sf_dir), ONE, 10).select("rank", "index", _r("score"))
 
 
 @query()
 def rptree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rptree.search(_docs(spark, sf_dir), f"the onre {ONE} and", 10)
+    return rptree.search(_docs(spark, sf_dir), _LONG, 10)
+
+
+@query(_TFIDF_TOP)
+def rptree_every_leaf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the trees with a budget of all rows, where the result is exact."""
+    docs = _docs(spark, sf_dir).where(tx.not_blank("document"))
+    budget = docs.count()
+    return rptree._through_trees(docs, _LONG, 10, 2, rptree.LEAF, 2 * budget, tfidf.MAX_FEATURES, 42).select("rank", "index", _r("score"))
 
 
 # Records -------------------------------------------------------------------
@@ -412,23 +500,30 @@ def hit_rate_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir).agg(F.round(metrics.hit_rate_at(10), 6).alias("hit_rate_10"))
 
 
-def _board(strategy: str, b: float) -> str:
-    body = _RESULTS.replace(_bm25_sql(), _bm25_sql(1.5, b)).strip().removeprefix("with")
-    return (
-        f"select * from (with {body} select '{strategy}' as strategy, {_NDCG} as ndcg_10, "
-        f"coalesce({_HITS.format(k=10)}::double / nullif(max(n_rel), 0), 0) as recall_10 from j group by query_id)"
-    )
+_BOARD_SQL = f"""{_bm25_sql()}, lang as (select * from ({_values(LANGS.items())}) v(query_id, lang)),
+qr as (select query_id, d.doc_id from documents d join labels b using (doc_id) join lang using (lang) where quality = 1),
+nr as (select query_id, count(*) as n_rel from qr group by query_id), {_SPS_SQL},
+nn as ({_cosine_sql('select doc_id from documents').replace('ew as', 'with ew as', 1)}
+  select 'neural' as strategy, doc_id, coalesce(cos, 0) as score from documents left join co using (doc_id) where regexp_matches(text, '\\S')),
+al as (select * from nn union all select 'projection', doc_id, score from fu union all select 'lexical', doc_id, score from s where query_id = 1 and score > 0),
+rs as (select strategy, doc_id, row_number() over (partition by strategy order by score desc, doc_id) as rank from al qualify rank <= 100),
+j as (select strategy, rank, case when qr.doc_id is null then 0 else 1 end as rel, (select coalesce(max(n_rel), 0) from nr where query_id = 1) as n_rel
+      from rs left join qr on qr.query_id = 1 and qr.doc_id = rs.doc_id)
+select strategy, round({_NDCG}, 6) as ndcg_10, round(coalesce({_HITS.format(k=10)}::double / nullif(max(n_rel), 0), 0), 6) as recall_10 from j group by strategy"""
 
 
-@query(
-    f"""select strategy, round(avg(ndcg_10), 6) as ndcg_10, round(avg(recall_10), 6) as recall_10
-from ({_board('bm25', 0.75)} union all {_board('bm25_no_length', 0.0)}) group by strategy"""
-)
+@query(_BOARD_SQL)
 def strategy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, qrels, asked = _docs(spark, sf_dir), _qrels(spark, sf_dir), _asked(spark)
+    docs, one = _docs(spark, sf_dir), {1: ONE}
+    asked, qrels = _asked(spark).where("query_id = 1"), _qrels(spark, sf_dir).where("query_id = 1")
+    runs = {
+        "lexical": bm25.batch_search(docs, one, 100),
+        "projection": projection.batch_search(docs, one, projection.sign_map(), 100),
+        "neural": neural.batch_search(docs, one, 100),
+    }
     rows = None
-    for name, b in (("bm25", 0.75), ("bm25_no_length", 0.0)):
-        part = metrics.evaluate(bm25.batch_search(docs, ASKED, 100, b=b), qrels, asked).withColumn("strategy", F.lit(name))
+    for name, found in runs.items():
+        part = metrics.evaluate(found, qrels, asked).withColumn("strategy", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     return metrics.leaderboard(rows).select("strategy", _r("ndcg_10"), _r("recall_10"))
 

@@ -1,16 +1,17 @@
+import hashlib
 import json
 import math
 
 import numpy as np
 import pytest
 
-from loomquery import cli, evaluation
+from loomquery import cli, evaluation, scratch
 from loomquery.engine import SearchEngine, register, resolve, strategies
 from loomquery.functions import text as tx
-from loomquery.operators import bm25, cascade, knn, metrics, models, neural, projection, ranking, rptree, tfidf
+from loomquery.operators import bm25, cascade, held, knn, metrics, models, neural, projection, ranking, rptree, tfidf, vector_index
 from loomquery.server import App
 from loomquery.sources import corpus as io
-from loomquery.sources import synthetic
+from loomquery.sources import synthetic, vector_store
 
 TEXTS = ["the support port", "port", "airport report", "", None, "a\nb c port port", "nothing here", "port"]
 
@@ -81,7 +82,7 @@ def test_rptree_leaves_partition_the_corpus_and_find_neighbours(spark):
     assign, inner = rptree.build(rptree.vectors(docs), trees=2, leaf_size=50)
     counts = assign.groupBy("tree", "index").count()
     assert counts.count() == 2 * 240 and counts.where("count <> 1").count() == 0
-    assert inner
+    assert inner.count() and assign.groupBy("tree", "node").count().agg({"count": "max"}).first()[0] <= 50
     q = queries.first()["query"]
     found = rptree.search(docs, q, 5, n_candidates=120).collect()
     exact = tfidf.search(docs, q, 5).collect()
@@ -244,3 +245,160 @@ def test_stream_of_micro_batches(spark, tmp_path):
     search_stream(stream, "port", str(tmp_path / "out"), str(tmp_path / "ck"), 3).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out" / "batch=0"))
     assert ids(got) == best("port")[:3]
+
+
+def test_trees_split_to_any_depth_and_give_up_on_equal_rows(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    m = np.concatenate([rng.standard_normal((300, 8)), np.ones((60, 8))])
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "index long, v array<float>")
+    whole, inner = rptree.build(docs, trees=2, leaf_size=10)
+    monkeypatch.setattr(rptree, "TOP_LEVELS", 2)
+    deep, below = rptree.build(docs, trees=2, leaf_size=10)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, deep.select(whole.columns).collect()))
+    assert sorted(map(tuple, inner.collect())) == sorted(map(tuple, below.collect()))
+    sizes = {(r["tree"], r["node"]): r["count"] for r in whole.groupBy("tree", "node").count().collect()}
+    assert all(n <= 10 or n >= 60 for n in sizes.values()) and max(sizes.values()) >= 60
+    q = rng.standard_normal(8)
+    counts = whole.groupBy("tree", "node").agg({"index": "count"}).withColumnRenamed("count(index)", "n")
+    got = {(r["tree"], r["node"]): r["take"] for r in rptree.leaves_for(q, counts, inner, 70, seed=42).collect()}
+    cuts = {(r["tree"], r["node"]): r["threshold"] for r in inner.collect()}
+    for tree in (0, 1):  # a plain best-first walk
+        queue, left, want = [(0.0, 0, 1)], 70, {}
+        while queue and left > 0:
+            queue.sort()
+            _, _, node = queue.pop(0)
+            if (tree, node) in cuts:
+                d = q @ rptree._direction(42, tree, node, 8) - cuts[tree, node]
+                near, far = (2 * node + 1, 2 * node) if d > 0 else (2 * node, 2 * node + 1)
+                queue += [(0.0, -node, near), (abs(d), 1, far)]
+            else:
+                want[tree, node] = min(left, sizes[tree, node])
+                left -= want[tree, node]
+        assert {k: v for k, v in got.items() if k[0] == tree} == want
+
+
+def test_tree_recall_grows_with_the_candidates(spark):
+    """Twenty excerpts over a thousand documents; the figures are in the README."""
+    docs = io.from_table(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text").where(tx.not_blank("document"))
+    texts = [r["document"].split() for r in docs.where("index % 37 = 0").orderBy("index").collect()]
+    queries = [" ".join(t[5:45]) for t in texts if len(t) > 60][:20]
+    vecs = rptree.vectors(docs).persist()
+    assign, inner = rptree.build(vecs)
+    assign, sizes = assign.persist(), assign.groupBy("tree", "node").agg({"index": "count"}).withColumnRenamed("count(index)", "n").persist()
+    w = {r["index"]: {t["term"]: t["weight"] for t in r["terms"]} for r in vecs.collect()}
+    idf = {r["term"]: r["idf"] for r in tfidf.vocabulary(tfidf.term_counts(docs), docs.selectExpr("count(1) as n")).collect()}
+    where = {}
+    for r in assign.collect():
+        where.setdefault((r["tree"], r["node"]), []).append(r["index"])
+    recall = {}
+    for budget in (66, 200, 600):
+        found = []
+        for text in queries:
+            tf = {}
+            for word in models.words(text):
+                if word in idf:
+                    tf[word] = tf.get(word, 0) + 1
+            asked = {t: (1 + math.log(n)) * idf[t] for t, n in tf.items()}
+            score = {i: sum(x * own.get(t, 0) for t, x in asked.items()) for i, own in w.items()}
+            exact = sorted(score, key=lambda i: (-score[i], i))[:10]
+            q = sum(x * models.sign_rows([models.signs(t)])[0] for t, x in asked.items()) / math.sqrt(sum(x * x for x in asked.values()))
+            take = rptree.leaves_for(q, sizes, inner, budget).collect()
+            pool = {i for r in take for i in sorted(where[r["tree"], r["node"]])[: r["take"]]}
+            found.append(len(pool & set(exact)) / 10)
+        recall[budget] = sum(found) / len(found)
+    print("rptree recall at 10 by rows a tree:", recall)
+    assert recall[66] > 0.25 and recall[200] > recall[66] and recall[600] >= 0.9
+    spark.catalog.clearCache()
+
+
+def test_vector_index_recall_and_exactness(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 16)) * 2
+    m = (centres[rng.integers(0, 30, 3000)] + rng.standard_normal((3000, 16))).astype("float32")
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(5000, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    path = str(tmp_path / "index")
+    assert vector_index.build(table, path, sample_rows=1000) == 3000
+    asked = table.where("vec_id % 50 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    found = dict(vector_index.sweep(spark, path, table, asked, (1, 8, 55)))
+    assert found[1] < found[8] and found[8] >= 0.9 and found[55] == 1.0
+    exact = {tuple(r) for r in knn.batch_search(table, asked, 5).select("query_id", "rank", "index").collect()}
+    assert exact == {tuple(r) for r in vector_index.search(spark, path, asked, 5, probes=999).select("query_id", "rank", "index").collect()}
+    empty = str(tmp_path / "empty")
+    assert vector_index.build(table.where("vec_id = 5000"), empty) == 0 and vector_index.search(spark, empty, asked).count() == 0
+
+
+def test_vector_store_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "[0.5,1.0]"), (2, None)], "id long, embedding string").write.parquet(str(tmp_path / "t"))
+    got = {r["vec_id"]: r["embedding"] for r in vector_store.read_table(spark, str(tmp_path / "t")).collect()}
+    assert got == {1: [0.5, 1.0], 2: None}
+    answers = spark.createDataFrame([(1, 0.25)], "id long, distance double")
+    assert [tuple(r) for r in vector_store.results(answers).collect()] == [(0, 0.75)]
+
+
+def test_batches_equal_single_searches(spark):
+    docs, queries, _ = synthetic.dataset(spark, 12)
+    docs = docs.select("index", "document")
+    asked = {r["query_id"]: r["query"] for r in queries.collect()}
+    w = projection.sign_map()
+    for many, one in (
+        (projection.batch_search(docs, asked, w, 5), lambda q: projection.search(docs, q, w, 5)),
+        (neural.batch_search(docs, asked, 5), lambda q: neural.search(docs, q, 5)),
+    ):
+        rows = {(r["query_id"], r["rank"]): (r["index"], r["score"]) for r in many.collect()}
+        for i, q in asked.items():
+            want = one(q).orderBy("rank").collect()
+            assert [rows[i, r["rank"]][0] for r in want] == [r["index"] for r in want]
+            assert all(abs(rows[i, r["rank"]][1] - r["score"]) < 1e-9 for r in want)
+
+
+def test_models_by_plain_sums():
+    def bits(g):
+        d = hashlib.md5(g.encode()).hexdigest()
+        return [1.0 if int(d[j // 4], 16) >> (3 - j % 4) & 1 else -1.0 for j in range(64)]
+
+    v = np.zeros(64)
+    for w in ("ecole", "ab", "ab"):
+        grams = [w, *(f"<{w}>"[j : j + 3] for j in range(len(w)))]
+        v += np.mean([bits(g) for g in grams], axis=0)
+    assert np.allclose(models.HashEmbedder().embed(["École, ab x ab!"])[0], v / np.linalg.norm(v))
+    assert not models.HashEmbedder().embed([""]).any()
+    with pytest.raises(RuntimeError, match="fastembed"):
+        models.FastEmbedder().embed(["a"])
+    with pytest.raises(RuntimeError, match="sentence_transformers"):
+        models.CrossEncoderScorer().score("a", ["b"])
+
+
+def test_engine_forgets_what_it_was_not_told_to_keep(spark, tmp_path):
+    a, _, _ = synthetic.dataset(spark, 12)
+    a = a.select("index", "document")
+    other = ["some other words here", "cargo of another kind", "vessel and anchor"] * 4
+    fresh = [tuple(r)[:3] for r in SearchEngine(spark, "projection").search("cargo vessel", a, 5).collect()]
+    engine = SearchEngine(spark, "projection")
+    engine.search("cargo vessel", other, 3).collect()
+    assert [tuple(r)[:3] for r in engine.search("cargo vessel", a, 5).collect()] == fresh
+    engine.train(other, model_path=str(tmp_path / "w"))
+    stored = SearchEngine(spark, "projection", model_path=str(tmp_path / "w"))
+    want = [tuple(r)[:3] for r in engine.search("cargo vessel", a, 5).collect()]
+    assert [tuple(r)[:3] for r in stored.search("cargo vessel", a, 5).collect()] == want
+    held.release()
+    assert not held._HELD
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session())
