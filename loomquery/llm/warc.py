@@ -43,6 +43,26 @@ def _uri(url: str | None, page_id: int | None) -> str:
     return clean or f"urn:page:{page_id}"
 
 
+def _urn(page_id: int | None, digest: str) -> str:
+    """The record id of a page with this payload."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}"
+
+
+def make_info(name: str) -> bytes:
+    """The record that opens an archive, as a gzip member."""
+    block = b"software: loomquery\r\nformat: WARC File Format 1.1\r\n"
+    head = [
+        "WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}",
+    ]
+    return _member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def _member(raw: bytes) -> bytes:
+    squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return squeeze.compress(raw) + squeeze.flush()
+
+
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
     """One WARC/1.1 record as a gzip member.  A revisit carries the HTTP head only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -50,7 +70,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>",
+        f"WARC-Record-ID: <{_urn(page_id, digest)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Target-URI: {_uri(url, page_id)}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -61,11 +81,10 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     if is_revisit:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{refers_to}>",
+            f"WARC-Refers-To: <{_urn(refers_to, digest)}>",
+            f"X-Refers-To-Page-Id: {refers_to}",
         ]
-    raw = "\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n"
-    squeeze = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return squeeze.compress(raw) + squeeze.flush()
+    return _member("\r\n".join(head).encode("utf-8", "replace") + b"\r\n\r\n" + block + b"\r\n\r\n")
 
 
 def parse_record(raw: bytes) -> dict:
@@ -99,8 +118,11 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, roll_bytes: int) -> I
                     if out is not None:
                         out.close()
                     # A name of its own for each attempt: a lost attempt's file is never in the index.
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     out = files.open_output_stream(f"{root}/{name}", compression=None)  # the members are compressed already
+                    info = make_info(name)
+                    out.write(info)
+                    at = len(info)
                 out.write(record)
                 rows.append(
                     (r["page_id"], r["url"], f"{folder}/{name}", at, len(record), len(payload), digest, "revisit" if revisit else "response", r["refers_to"])
@@ -184,9 +206,9 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                     digest = got["warc-payload-digest"].removeprefix("sha1:")
                     payload = got["payload"]
                     intact = revisit or (digest32(payload) == digest and len(payload) == got["declared"])
-                    refers = got.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+                    refers = got.get("x-refers-to-page-id", "")
                     rows.append(
-                        (int(got["x-page-id"]) if got["x-page-id"] else None, r["url"], name, r["offset"], got["warc-type"], int(refers) if refers else None,
+                        (int(got["x-page-id"]) if got["x-page-id"] else None, got["warc-target-uri"], name, r["offset"], got["warc-type"], int(refers) if refers else None,
                          got["declared"] if revisit else len(payload), digest if revisit else digest32(payload), None if revisit or not with_payload else payload, intact)
                     )
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
@@ -198,7 +220,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 
 def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Read the records of ``index`` (any selection of its rows) back from the archives (``READ_SCHEMA``).
+    """Read the records of ``index`` (any selection of its rows) back from the archives (``READ_SCHEMA``); ``url`` is the record's target.
 
     Rows are dealt by (archive, 64 MB stretch) and sorted by offset, so a task
     reads forwards, and close records share one read of at most 4 MB.  A
@@ -210,7 +232,7 @@ def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
         index.withColumn("stretch", F.expr("offset div 67108864"))
         .repartition("archive", "stretch")
         .sortWithinPartitions("archive", "offset")
-        .select("url", "archive", "offset", "length")
+        .select("archive", "offset", "length")
         .mapInArrow(lambda it: _read(it, with_payload), READ_SCHEMA)
     )
 
