@@ -2,9 +2,43 @@
 
 from __future__ import annotations
 
+from . import license_rules
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+def _rule_rows() -> str:
+    """The license rules for text whose words are parted by two spaces: each match has a space of its own at either end, so no lookahead is needed."""
+
+    def wide(s: str) -> str:
+        return s.replace(" ", "  ")
+
+    rows = []
+    for k, r in enumerate(license_rules.rules()):
+        inner = wide(r["regex"].strip().removesuffix("(?= )"))
+        edge = [" " if r["keyword"][at] == " " else "" for at in (0, -1)]
+        rows.append(f"({k}, '{r['label']}', {r['priority']}, '{edge[0]}{wide(r['keyword'].strip())}{edge[1]}', ' (?:{inner}) ', {str(r['base']).lower()})")
+    return ", ".join(rows)
+
+
+_SPACES = "list_sum(list_transform({}, lambda x: len(x) - len(replace(x, ' ', ''))))"
+OP1 = f"""with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+t as (select doc_id, ' ' || array_to_string(w, '  ') || ' ' as n from w),
+r(rule, label, priority, keyword, regex, base) as (values {_rule_rows()}),
+h as (select doc_id, rule, label, priority, base, string_split_regex(n, regex) as p, regexp_extract_all(n, regex) as m from t join r on contains(n, keyword)),
+i as (select *, unnest(range(1, len(m) + 1)) as i from h where len(m) > 0),
+d as (select doc_id, rule, label, priority, base, start, start + (len(m[i]) - len(replace(m[i], ' ', ''))) // 2 as stop
+      from (select *, ({_SPACES.format('p[1:i]')} + coalesce({_SPACES.format('m[1:i - 1]')}, 0)) // 2 as start from i) x),
+k as (select * from d where base or not exists (select 1 from d e where e.doc_id = d.doc_id and e.start <= d.start and e.stop >= d.stop and e.priority >= d.priority
+      and (e.start, -e.stop, -e.priority, e.rule) < (d.start, -d.stop, -d.priority, d.rule))),
+b as (select doc_id, count(*) as n_base, min(start) as first_word, max(start) as last_word, string_agg(distinct label, ',' order by label) as base_labels from k where base group by doc_id),
+l as (select doc_id, label, max(priority) as priority, count(*) as n from k group by doc_id, label),
+s as (select doc_id, string_agg(label, ',' order by label) as labels, sum(n) as n,
+      1.0::double - list_reduce(list(1.0::double - priority / 5.0::double order by label), lambda x, y: x * y) as score from l group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0::double) as score, coalesce(n, 0)::int as n_detections
+from w left join b on b.doc_id = w.doc_id left join s on s.doc_id = w.doc_id"""
+
 OP2 = f"""with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
 s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g, least(len(w), 4) as k
       from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) as i from w where len(w) > 0) x),

@@ -118,7 +118,7 @@ def test_license_gates_are_implied_by_every_rule():
 def test_license_scan_of_lone_short_forms(spark):
     texts = ["http://creativecommons.org/publicdomain/zero/1.0/", "MIT No Attribution", "CreativeML OpenRAIL-M", "a trail map"]
     rows = {r["doc_id"]: r["license"] for r in license_scan.scan(table(spark, texts)).collect()}
-    assert [list(rows[i]["labels"]) for i in range(4)] == [["cc"], ["mit-0"], ["openrail"], []]
+    assert [list(rows[i]["labels"]) for i in range(4)] == [["cc0"], ["mit-0"], ["openrail"], []]
 
 
 def test_license_scan_keeps_other_columns_and_empty_tables(spark):
