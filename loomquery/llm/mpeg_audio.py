@@ -20,7 +20,7 @@ from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +183,6 @@ def _id3v2(data: bytes, found: Stream) -> int:
 
 
 def _vbr_table(frame: bytes, h: Header) -> dict | None:
-    at = 4 + (2 if h.protected else 0) + h.side
     for at in (4 + h.side, 4 + 2 + h.side):
         kind = frame[at : at + 4]
         if kind in (b"Xing", b"Info"):
@@ -291,16 +290,23 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "media") -> D
     through (one named like ``out_col`` is replaced).
     """
 
-    @F.pandas_udf("binary")
-    def to_media(texts: pd.Series) -> pd.Series:
-        return pd.Series([pack(t.encode("utf-8", "replace") if t else b"") for t in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def to_media(texts: pa.Array) -> pa.Array:
+        return pa.array([pack((t.as_py() or "").encode("utf-8", "replace")) for t in texts], pa.binary())
 
     return docs.withColumn(out_col, to_media(F.col(text_col)))
 
 
 FEATURES = (
     "frames long, samples long, duration_us long, crc_ok long, crc_bad long, skipped long, truncated boolean, vbr boolean, "
-    "table string, offsets array<long>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    "table string, table_frames long, table_bytes long, toc array<long>, tags map<string,string>, id3v1 boolean, offsets array<long>, "
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+)
+KINDS = (
+    *[("frames", pa.int64()), ("samples", pa.int64()), ("duration_us", pa.int64()), ("crc_ok", pa.int64()), ("crc_bad", pa.int64()), ("skipped", pa.int64())],
+    *[("truncated", pa.bool_()), ("vbr", pa.bool_()), ("table", pa.string()), ("table_frames", pa.int64()), ("table_bytes", pa.int64()), ("toc", pa.list_(pa.int64()))],
+    *[("tags", pa.map_(pa.string(), pa.string())), ("id3v1", pa.bool_()), ("offsets", pa.list_(pa.int64())), ("payload_bytes", pa.int64())],
+    *[("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())],
 )
 
 
@@ -308,26 +314,30 @@ def decode(media: DataFrame, media_col: str = "media", out_col: str = "audio", o
     """Add struct ``out_col`` with what the stored bytes hold (``FEATURES``).
 
     ``duration_us`` is exact wherever a frame's length in microseconds is
-    whole.  ``offsets`` are the frames' seek offsets (null if not asked for).
+    whole.  ``table`` and so on are those of the bitrate table, ``tags`` the
+    text frames of a leading tag, ``offsets`` the frames' seek offsets (null if
+    not asked for).
     Null media give a null struct; bytes without any frame give zero frames.
     """
 
-    @F.pandas_udf(FEATURES)
-    def features(column: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(FEATURES)
+    def features(column: pa.Array) -> pa.Array:
         rows = []
         for data in column:
+            data = data.as_py()
             if data is None:
-                rows.append((None,) * 15)
+                rows.append((None,) * len(KINDS))
                 continue
             s = parse(data)
-            payload = unpack(data, s)
+            payload, table = unpack(data, s), s.table or {}
             rows.append(
                 (
                     len(s.frames), s.samples, int(s.seconds * 1_000_000), s.crc_ok, s.crc_bad, s.skipped, s.truncated,
-                    len({h.kbps for h in s.headers}) > 1, s.table and s.table["kind"], s.frames if offsets else None,
+                    len({h.kbps for h in s.headers}) > 1, table.get("kind"), table.get("frames"), table.get("bytes"), table.get("toc"),
+                    list(s.id3v2.items()), s.id3v1, s.frames if offsets else None,
                     len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(),
                 )
             )
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in FEATURES.replace("array<long>", "array").split(", ")])
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(KINDS)], [name for name, _ in KINDS])
 
     return media.withColumn(out_col, F.when(F.col(media_col).isNotNull(), features(F.col(media_col))))

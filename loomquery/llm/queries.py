@@ -66,8 +66,10 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = mpeg_audio.decode(stored, offsets=True).select("doc_id", "n_bytes", "audio.*")
     feature = F.concat_ws(
         ";",
-        *(F.concat(F.lit(f"{name}="), F.col(name).cast("string")) for name in ("frames", "samples", "duration_us", "crc_ok", "crc_bad", "skipped", "vbr", "table")),
+        *(F.concat(F.lit(f"{name}="), F.col(name).cast("string")) for name in ("frames", "samples", "duration_us", "crc_ok", "crc_bad", "skipped", "vbr", "table", "table_frames", "table_bytes", "id3v1")),
+        F.concat(F.lit("tlen="), F.col("tags")["TLEN"]),
         F.concat(F.lit("last_frame_at="), F.element_at("offsets", -1).cast("string")),
+        F.concat(F.lit("seek_crc32="), F.crc32(F.array_join("offsets", ",").cast("binary")).cast("string")),
     )
     return read.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature")
@@ -127,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": oracles.OP1,
     "op2_ngram_jaccard_join": oracles.OP2,
     "op3_decontamination": oracles.OP3,
     "op6_warc": oracles.OP6,
