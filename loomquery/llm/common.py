@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import shared_path
+
 #: ``bytes.translate`` table of the word rule: A-Z to a-z, every other ASCII
 #: byte that is not a letter or digit to a space; bytes of non-ASCII
 #: characters stay, so they are word characters.
@@ -26,8 +26,8 @@ def word_list(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_TABLE).split()
 
 
-#: Entries of a Python worker's cache, and bytes of a key that is kept: some 20 MB at most.
-CACHE_ENTRIES, CACHED_BYTES = 100_000, 48
+#: Entries of a Python worker's cache, and bytes of a key that is kept: some 10 MB at most.
+CACHE_ENTRIES, CACHED_BYTES = 60_000, 48
 _cache: tuple[str, dict] = ("", {})
 
 
@@ -51,26 +51,6 @@ def py_id_remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder inside the session's checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session.  Only where neither it
-    nor a checkpoint folder is set (local tests) is a temporary folder set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomquery-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new folder name in the shared folder; Spark's file system deletes it when the driver ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
 def durable(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return a reader of it.
 
@@ -93,6 +73,26 @@ def release(df: DataFrame | None) -> None:
         jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Rows and bytes of text that a task turns into Python objects at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
+
+
+def slices(batches: Iterator, column: str) -> Iterator:
+    """Arrow batches cut so that each holds ``SLICE_ROWS`` rows and ``SLICE_BYTES`` bytes of ``column`` at most, or a single row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = int(np.searchsorted(upto, before + SLICE_BYTES, "right"))
+            end = min(max(end, at + 1), at + SLICE_ROWS)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def chunks(batches: Iterator, rows: int) -> Iterator:
     """Arrow batches regrouped into tables of at most ``rows`` rows."""
     import pyarrow as pa

@@ -11,7 +11,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,23 +78,27 @@ def _automaton(items: tuple[tuple[str, str | None], ...], window: int) -> Automa
 def _scanner(items, window: int):
     """A vectorised function: text and what earlier automata found -> ``RESULT``."""
 
-    @F.pandas_udf(RESULT)
-    def scan(texts: pd.Series, had_hits: pd.Series, had_items: pd.Series) -> pd.DataFrame:
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "items": pa.list_(pa.string()), "hits": span, "spans": span}
+
+    @F.arrow_udf(RESULT)
+    def scan(texts: pa.Array, had_hits: pa.Array, had_items: pa.Array) -> pa.Array:
         automaton = _automaton(items.value, window)
         rows = []
         for text, hits, names in zip(texts, had_hits, had_items, strict=True):
+            text, hits, names = text.as_py(), hits.as_py(), names.as_py()
             words = word_list(text)
             spans, found = automaton.scan(words)
-            if hits is not None and len(hits):
+            if hits:
                 spans = merged(spans + [(h["start"], h["end"]) for h in hits])
-            if names is not None and len(names):
+            if names:
                 found = found | set(names)
             where = []
             if spans:
                 at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
                 where = [{"start": at[a][0], "end": at[b - 1][1]} for a, b in spans]
             rows.append((len(words), sum(b - a for a, b in spans), sorted(found), [{"start": a, "end": b} for a, b in spans], where))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "hits", "spans"])
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
     return scan
 

@@ -12,12 +12,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, id_remainder, release
+from .common import durable, id_remainder, release, slices
 from .training import PARTITIONS, SPACE
 
 #: Hashed n-grams of order 1 to 3.
@@ -141,7 +140,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 x, n = grams(text)
                 sums.setdefault(lang, np.zeros(1 << BITS, np.int64))[x] += n
@@ -165,15 +164,16 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 numbers for each language
 
-    @F.pandas_udf("lang string, score double, langs array<string>, shares array<double>")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang string, score double, langs array<string>, shares array<double>")
+    def run(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts:
-            langs, shares, full = held.value.mixture(text)
+            langs, shares, full = held.value.mixture(text.as_py())
             if langs:
                 rows.append((langs[0], float(min(1.0, full[held.value.langs.index(langs[0])])), langs, shares.tolist()))
             else:
                 rows.append(("und", 0.0, [], []))
-        return pd.DataFrame(rows, columns=["lang", "score", "langs", "shares"])
+        kinds = {"lang": pa.string(), "score": pa.float64(), "langs": pa.list_(pa.string()), "shares": pa.list_(pa.float64())}
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
     return docs.drop(out_col).withColumn(out_col, run(F.col(text_col)))

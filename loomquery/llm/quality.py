@@ -12,21 +12,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_digest
 
-from .common import id_remainder, release
+from .common import CACHED_BYTES, id_remainder, release, slices, worker_cache
 from .training import logistic, sample
 
 #: Hashed features.
 BITS = 18
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 8192
-#: Tokens whose hashes a worker remembers.
-CACHE_TOKENS = 400_000
 
 _RUNS = re.compile(r"([A-Z]+)|([^\W\d_A-Z]+)|(\d+)|(.)\4*", re.S)
 
@@ -41,34 +38,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) >> np.uint64(64 - BITS)
 
 
-class _Seen:
-    """Word and shape hashes of the tokens that this worker has met, by number."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.word = np.zeros(CACHE_TOKENS, np.uint64)
-        self.shape = np.zeros(CACHE_TOKENS, np.uint64)
-
-    def numbers(self, tokens: list[str]) -> np.ndarray:
-        if len(self.number) + len(tokens) > len(self.word):
-            self.number.clear()
-            if len(tokens) > len(self.word):
-                self.word, self.shape = np.zeros(len(tokens), np.uint64), np.zeros(len(tokens), np.uint64)
-        found = list(map(self.number.get, tokens))
-        if None in found:
-            for i, n in enumerate(found):
-                if n is None:
-                    t = tokens[i]
-                    n = self.number.get(t)
-                    if n is None:
-                        n = self.number[t] = len(self.number)
-                        self.word[n] = xxh3_64_intdigest(t.lower())
-                        self.shape[n] = xxh3_64_intdigest(shape(t), 1)
-                    found[i] = n
-        return np.asarray(found, np.int64)
-
-
-_SEEN = _Seen()
+def _hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word and shape hashes of tokens; the worker remembers those of short ones."""
+    cache = worker_cache("quality")
+    found = list(map(cache.get, tokens))
+    if None in found:
+        for i, x in enumerate(found):
+            if x is None:
+                t = tokens[i]
+                found[i] = xxh3_64_digest(t.lower()) + xxh3_64_digest(shape(t), 1)
+                if len(t) <= CACHED_BYTES:
+                    cache[t] = found[i]
+    both = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -80,13 +62,15 @@ def features(text: str | None) -> np.ndarray:
     tokens = text.split() if text else []
     if not tokens:
         return np.empty(0, np.int64)
-    at = _SEEN.numbers(tokens)
-    w, s = _SEEN.word[at], _SEEN.shape[at]
+    w, s = _hashes(tokens)
     s[1:][w[1:] == w[:-1]] ^= np.uint64(0x5851F42D4C957F2D)
     a, b = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
     grams = [w, w[:-1] * a + w[1:], s, s[:-1] * a + s[1:] * b, s[:-2] * a + s[1:-1] * b + s[2:]]
+    found = _mix(np.concatenate(grams))
+    if len(found) < 1 << (BITS - 4):
+        return np.unique(found).astype(np.int64)
     out = np.zeros(1 << BITS, bool)
-    out[_mix(np.concatenate(grams))] = True
+    out[found] = True
     return np.flatnonzero(out)
 
 
@@ -101,23 +85,29 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     return out
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights of an L1-loss linear support vector machine; ``y`` is +1 or -1, ``cost`` each row's upper bound."""
-    w = np.zeros(1 << BITS)
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """Weights of an L1-loss linear support vector machine.
+
+    A row holds the features that it has; their values are ``scale``'s, made
+    to unit length.  ``y`` is +1 or -1, ``cost`` each row's upper bound.
+    """
+    w = np.zeros(len(scale))
     alpha = np.zeros(len(rows))
-    q = np.asarray([v @ v for v in values])
+    size = np.asarray([unit_length(scale[x]) for x in rows])
+    some = np.asarray([bool(scale[x].any()) for x in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            if q[i] == 0:
+            if not some[i]:
                 continue
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = scale[x] / size[i]
             g = y[i] * (w[x] @ v) - 1
             pg = min(g, 0) if alpha[i] == 0 else max(g, 0) if alpha[i] >= cost[i] else g
             worst = max(worst, abs(pg))
             if pg:
-                new = min(max(alpha[i] - g / q[i], 0), cost[i])
+                new = min(max(alpha[i] - g / (v @ v), 0), cost[i])
                 w[x] += (new - alpha[i]) * y[i] * v
                 alpha[i] = new
         if worst < 1e-3:
@@ -125,6 +115,11 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w
 
 
+def unit_length(v: np.ndarray) -> float:
+    """The length that values are divided by."""
+    return max(float(np.sqrt(v @ v)), 1e-12)
+
+
 @dataclass
 class Model:
     """``scale`` is the log-count ratio, ``weight`` the fitted weights; probability = logistic(slope * margin + shift)."""
@@ -138,7 +133,7 @@ class Model:
         if not len(x):
             return 0.0
         v = self.scale[x]
-        return float(self.weight[x] @ v) / max(float(np.sqrt(v @ v)), 1e-12)
+        return float(self.weight[x] @ v) / unit_length(v)
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(features(text)) + self.shift, -30, 30))))
@@ -154,15 +149,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0) -> Model:
         held[:] = False
     own = np.flatnonzero(~held)
     scale = log_count_ratio([rows[i] for i in own], y[own])
-    values = []
-    for x in rows:
-        v = scale[x]
-        values.append(v / max(float(np.sqrt(v @ v)), 1e-12))
     share = np.asarray([(y[own] == 0).mean(), (y[own] == 1).mean()])
     cost = c * 0.5 / share[y[own]]
-    w = dual_coordinate_descent([rows[i] for i in own], [values[i] for i in own], 2 * y[own] - 1, cost)
+    w = dual_coordinate_descent([rows[i] for i in own], scale, 2 * y[own] - 1, cost)
     check = np.flatnonzero(held) if held.any() else own
-    margins = np.asarray([w[rows[i]] @ values[i] if len(rows[i]) else 0.0 for i in check])
+    margins = np.asarray([w[rows[i]] @ scale[rows[i]] / unit_length(scale[rows[i]]) if len(rows[i]) else 0.0 for i in check])
     slope, shift = logistic(margins[:, None], y[check], ridge=1e-3)
     return Model(scale.astype(np.float32), w.astype(np.float32), float(slope), float(shift))
 
@@ -174,12 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", hold_o
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
-        for batch in batches:
+        for batch in slices(batches, "text"):
             for i, label, text in zip(*(batch.column(c).to_pylist() for c in ("id", "label", "text")), strict=True):
                 x = features(text)
-                found.append((i, int(label > 0), x.tobytes()))
+                found.append((i, int(label > 0), x.astype(np.int32).tobytes()))
         found.sort()
-        m = fit([np.frombuffer(x, np.int64) for _, _, x in found], np.asarray([y for _, y, _ in found], int))
+        m = fit([np.frombuffer(x, np.int32) for _, _, x in found], np.asarray([y for _, y, _ in found], int))
         yield pa.RecordBatch.from_pydict({"scale": [m.scale.tobytes()], "weight": [m.weight.tobytes()], "slope": [m.slope], "shift": [m.shift]})
 
     # The sample is bounded, so one task fits the model, and the driver gets no more than its two arrays.
@@ -200,9 +191,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2 arrays of 2^18 numbers, whatever the corpus
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([held.value.score(t.as_py()) for t in texts], pa.float64())
 
     s = F.col("_s")
     packed = docs.drop(out_col).select(F.struct("*").alias("_row"), run(F.col(text_col)).alias("_s"))
