@@ -277,6 +277,22 @@ def test_packing_with_exchange(spark, rows):
     assert packing.pack(parts.limit(0)).count() == 0
 
 
+def test_packing_leaves_certified_partitions_alone(spark):
+    """Partitions that meet their bound keep their sequences while the others exchange."""
+    rng = np.random.default_rng(4)
+    good, bad = np.tile([1500, 548], 32), np.concatenate([rng.integers(600, 1100, 64) for _ in range(6)])
+    lengths = np.concatenate([good, bad])
+    rows = [(i, 0, 0, int(n), i, "clash", "clash") for i, n in enumerate(lengths)]
+    parts = spark.createDataFrame([*rows, rows[0]], "doc_id long, piece int, start long, length long, ids_crc32 long, fill string, bin string").coalesce(1)
+    out = packing.pack(parts, partition_rows=64).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted([0, *range(len(lengths))])
+    assert all(r["sequence_id"] >> 58 == 0 for r in out if r["doc_id"] in range(1, 64)) and all(r["certified"] for r in out if r["doc_id"] in range(1, 64))
+    assert any(r["sequence_id"] >> 58 for r in out)
+    lengths = np.append(lengths, 1500)
+    apart = sum(len(packing.best_fit(lengths[at : at + 64])[2]) for at in range(0, len(lengths), 64))
+    assert packing.lower_bound(lengths) <= sequences_are_sound(out, 2048) < apart
+
+
 # WARC
 
 
@@ -343,8 +359,8 @@ def test_log_count_ratio_and_coordinate_descent():
     y = np.asarray([1, 1, 0, 0])
     r = quality.log_count_ratio(rows, y)
     assert r[1] > r[2] > 0 > r[5] > r[4] and r[7] == 0
-    values = [r[x] for x in rows]
-    w = quality.dual_coordinate_descent(rows, values, 2 * y - 1, np.ones(4), epochs=50)
+    values = [r[x] / np.sqrt(r[x] @ r[x]) for x in rows]
+    w = quality.dual_coordinate_descent(rows, r, 2 * y - 1, np.ones(4), epochs=50)
     assert all((w[x] @ v) * s >= 1 - 1e-2 for x, v, s in zip(rows, values, 2 * y - 1))
 
 
@@ -401,14 +417,71 @@ def test_toxicity_restores_obfuscated_words(spark):
 
 
 def test_toxicity_reads_marked_spacing_and_doubled_letters():
+    rng = random.Random(1)
     words = ["stupid", "idiot", "moron", "plain", "ass"]
-    model = toxicity.Model(toxicity.CharModel.fit(200 * toxicity.CharModel.counts(words)), {w: i for i, w in enumerate(words)})
+    others = ["".join(rng.choice("bcdfghklmnprstw") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + rng.choice(["", "n", "s", "t"]) for _ in range(3000)]
+    model = toxicity.Model(toxicity.CharModel.fit(toxicity.CharModel.counts([*words, "a", "you", *others])), {w: i for i, w in enumerate(words)}, prior=dict.fromkeys(words, -7.0))
     for text, hit in (
         ("you s t u p i d.", 0), ('a "s t u p i d', 0), ('"s t u p i d!"', 0), ("s. t. u. p. i. d.", 0), ("so stuupid", 0), ("an idiiot!", 1), ("idiott,", 1),
         ("st00pid st1ip", None), ("m o r r o n", 2), ("m00ron", 2), ("mooroon", 2), ("m0rr0n", 2), ("as", None), ("aass", 4), ("plan", None), ("pllaain", 3),
     ):
         assert model.hits(text) == ([] if hit is None else [hit]), text
-    assert "stupid" in toxicity.Model(model.chars).words("stuupid")
+    assert model.restore("u stuup1d, m o r o n end\n1d10t plan") == "u stupid moron end\nidiot plan"
+
+
+def test_decoding_equals_trying_every_reading():
+    """Short lattices: the decoder's score and words against all spellings and cuts."""
+    rng = random.Random(3)
+    chars = toxicity.CharModel.fit(toxicity.CharModel.counts(["bad", "dab", "ab", "cab", "abba", "bead"] * 3))
+    lexicon = {"bad": -4.0, "dab": -6.0, "abba": -5.0, "a": -3.0}
+    trie = toxicity.Trie(lexicon)
+
+    def best(columns, run):
+        found = (-np.inf, None)
+
+        def go(i, score, word, words):
+            nonlocal found
+            def closed():
+                if not word:
+                    return [(score, words)]
+                return [(score + chars.logp(word), [*words, word]), *([(score + lexicon[word], [*words, word])] if word in lexicon else [])]
+
+            if i == len(columns):
+                found = max([found, *closed()], key=lambda x: x[0])
+                return
+            col = columns[i]
+            for c, cost in col.cost.items():
+                go(i + 1, score + cost, word + "abcdefghijklmnopqrstuvwxyz"[c], words)
+                if run and word:
+                    for s, w in closed():
+                        go(i + 1, s + cost, "abcdefghijklmnopqrstuvwxyz"[c], w)
+            if col.drop > -np.inf:
+                go(i + 1, score + col.drop, word, words)
+            if col.cut > -np.inf and not (run and col.cost):
+                for s, w in closed():
+                    go(i + 1, s + col.cut, "", w)
+
+        go(0, 0.0, "", [])
+        return found
+
+    for k in range(150):
+        token, run = "".join(rng.choices("abd4-8!@", k=rng.randint(1, 6))), k % 3 == 0
+        columns = list(toxicity.lattice(token, run))
+        words, score = toxicity._decode_few(columns, chars, trie, run, False)
+        many, same = toxicity._decode_many(columns, chars, trie, run, False)
+        assert abs(score - same) < 1e-6 and (words == many or len({score, same}) == 1 or abs(score - same) < 1e-9), token
+        want, spelled = best(columns, run)
+        assert abs(score - want) < 1e-6, token
+        assert words == spelled or abs(score - want) < 1e-6
+        if any(w in lexicon for w in words):
+            assert toxicity.may_hold(columns, trie, run) and toxicity.may_hold(columns, trie, run, run or not token.isalnum()), token
+
+
+def test_toxicity_reads_long_tokens_in_linear_time():
+    words = {"stupid": 0, "idiot": 1}
+    model = toxicity.Model(toxicity.CharModel.fit(toxicity.CharModel.counts(["stupid", "idiot", "other"])), words)
+    assert model.hits("a" + "*" * 20_000 + "b") == [] and model.hits("*@" * 5000 + "-id10t") == [1]
+    assert model.hits(" ".join("a" * 5000)) == []
 
 
 def test_toxicity_character_model_covers_all_documents(spark):
@@ -419,7 +492,7 @@ def test_toxicity_character_model_covers_all_documents(spark):
     for own in (labels, labels.limit(0)):
         model = toxicity.train(docs, own)
         assert np.allclose(model.chars.table, toxicity.CharModel.fit(want).table)
-        assert model.decode("k1lt") == "kilt" and model.decode("m1lk") == "milk"
+        assert model.reading("k1lt") == ["kilt"] and model.reading("m1lk") == ["milk"]
     assert not toxicity.corpus_trigrams(docs.limit(0)).any()
 
 
@@ -441,3 +514,97 @@ def test_pipeline_stages_in_turn(spark):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
     sequences_are_sound(rows, 2048)
     spark.catalog.clearCache()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, copies, long texts and columns named like anything inside the stages."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abdehilnorstuw", k=rng.randint(2, 8)))
+    good = lambda: " ".join(word() for _ in range(40)) + "."
+    texts = [good() if i % 5 else good() + " vilegrub" if i % 2 else " ".join(word().upper() + "!!" for _ in range(40)) for i in range(200)]
+    labels = [(i, int("!!" not in t), int("vilegrub" in t)) for i, t in enumerate(texts)]
+    leak = good()
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(None, None), (None, ""), (None, good()), (1, texts[1]), (1, texts[1]), (500, texts[2]), (501, leak), (502, good() + " v1legrub"), (503, " ".join(word() for _ in range(30_000)))]
+    names = ["verdict", "Verdict_", "_row", "_s", "_toxicity", "_leak", "_id", "_sig", "key", "score", "a.b"]
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text", *[F.concat(F.lit(f"{n} "), F.coalesce(F.substring("text", 1, 9), F.lit("-"))).alias(n) for n in names])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("x", leak), (None, "nothing of it")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path)).persist()
+        assert left.columns == docs.columns
+        kept[name] = [tuple(r) for r in left.collect()]
+        assert set(kept[name]) <= {tuple(r) for r in docs.collect()}
+    bad = {i for i, _, t in labels if t} | {502}
+    assert {r[0] for r in kept["toxicity"]} == {r[0] for r in rows} - bad
+    assert not any("!!" in (r[1] or "") for r in kept["quality_classifier"])
+    ids = Counter(r[0] for r in kept["ngram_jaccard_join"])
+    assert ids[1] == 1 and ids[500] == 0 and ids[2] == 1 and sum(r[0] is None and r[1] not in (None, "") for r in kept["ngram_jaccard_join"]) == 1
+    assert {r[0] for r in kept["benchmark_decontamination"]} == set(ids) - {501} and 503 in ids
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in packed} == {r[0] for r in kept["benchmark_decontamination"]}
+    sequences_are_sound(packed, 2048)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    spark.catalog.clearCache()
+
+
+def plain_dual(x, y, cost, steps=20_000):
+    """Projected gradient ascent on the dual of the hinge-loss problem, all rows at once."""
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(len(y))
+    rate = 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(steps):
+        alpha = np.clip(alpha + rate * (1 - q @ alpha), 0, cost)
+    return (alpha * y) @ x
+
+
+def test_coordinate_descent_equals_a_plain_solver():
+    rng = np.random.default_rng(2)
+    rows = [np.sort(rng.choice(30, rng.integers(2, 8), replace=False)) for _ in range(25)]
+    scale = np.zeros(1 << quality.BITS)
+    scale[:30] = rng.standard_normal(30)
+    y = np.where(rng.random(25) < 0.4, 1, -1)
+    dense = np.zeros((25, 30))
+    for i, r in enumerate(rows):
+        dense[i, r] = scale[r] / np.linalg.norm(scale[r])
+    cost = rng.uniform(0.3, 1.5, 25)
+    w = quality.dual_coordinate_descent(rows, scale, y, cost, epochs=400)
+    assert np.abs(w[:30] - plain_dual(dense, y, cost)).max() < 0.02 and not w[30:].any()
+
+
+def test_sparse_logistic_equals_the_dense_one():
+    from loomquery.llm.training import logistic, sparse_logistic
+
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist()) for _ in range(80)]
+    x = np.zeros((80, 12))
+    for i, r in enumerate(rows):
+        x[i, r] = 1
+    y = (rng.random(80) < 0.3 + 0.4 * x[:, 2]).astype(float)
+    assert np.abs(sparse_logistic(rows, y, 12, ridge=0.5) - logistic(x, y, ridge=0.5)).max() < 1e-4
+
+
+def test_mixture_equals_plain_expectation_maximisation():
+    """Proportions by a loop over single n-grams, with the language set chosen among all subsets of the best order."""
+    rng = np.random.default_rng(4)
+    prob = rng.dirichlet(np.full(1 << language_id.BITS, 0.5), 3).T + 1e-9
+    model = language_id.Model(["a", "b", "c"], prob)
+    for text in ("some words of a text", "zzz yyy xxx", "a", "Ein Satz und une phrase"):
+        x, n = language_id.grams(text)
+        w = np.full(3, 1 / 3)
+        for _ in range(language_id.EM_STEPS):
+            new = np.zeros(3)
+            for g, k in zip(x, n):
+                part = [w[j] * prob[g, j] for j in range(3)]
+                new += k * np.asarray(part) / sum(part)
+            new /= n.sum()
+            moved, w = np.abs(new - w).max(), new
+            if moved < 1e-3:
+                break
+        langs, shares, full = model.mixture(text)
+        assert np.abs(full - w).max() < 1e-9
+        assert langs and abs(sum(shares) - 1) < 1e-6 and langs[0] in model.langs
