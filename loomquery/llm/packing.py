@@ -2,10 +2,14 @@
 
 Texts become token ids, documents longer than a sequence are cut, and the
 pieces are packed partition by partition with best-fit decreasing.  Dual
-feasible functions give a lower bound of each partition's bin count and, from
-the counts of lengths, of the whole.  While the whole has a gap, the emptiest
-bins of all partitions are opened, exchanged between partitions and packed
-again; a partition keeps its new bins only if they are fewer.
+feasible functions give a lower bound of each partition's bin count: a
+partition that meets it is certified and left alone.  Those with gaps exchange
+the documents of their bins that are not full, and best-fit decreasing runs
+again; a partition keeps its new bins only if they are fewer.  When that ends,
+the same bound of all pieces together tells whether certified partitions could
+still gain from each other (a partition of one length alone is certified
+however much room its bins have); if so, the emptiest bins of all partitions
+are exchanged in the same way.
 """
 
 from __future__ import annotations
@@ -20,15 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, durable
+from .common import CACHED_BYTES, chunks, durable, slices, worker_cache
 
 CAPACITY = 2048
 #: Pieces packed together: the size of a packing partition.
 PARTITION_ROWS = 1 << 16
-#: Exchanges at most; later ones find little.
-ROUNDS = 4
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+#: Exchanges go on while each closes this part of the gap to the bound of the whole.
+PROGRESS = 0.01
 
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _UPPER = {c: c + 32 for c in [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]}
@@ -52,21 +54,20 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.chars = _byte_chars()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
 
     def _all(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        found = self.cache.get(word)
+    def _word(self, word: bytes, cache: dict[bytes, bytes]) -> bytes:
+        found = cache.get(word)
         if found is not None:
             return found
         if len(word) > 1 and word[-1] in b".," and (48 <= word[-2] <= 57 or 97 <= word[-2] <= 122):
-            found = self._word(word[:-1]) + self._word(word[-1:])  # a mark after a letter or digit is a piece of its own
+            found = self._word(word[:-1], cache) + self._word(word[-1:], cache)  # a mark after a letter or digit is a piece of its own
         else:
             text = word.decode()
             letters = text.translate(_UPPER)
@@ -75,9 +76,8 @@ class WordIds:
                 found = np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
             else:
                 found = self._all(text)
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        self.cache[word] = found
+        if len(word) <= CACHED_BYTES:
+            cache[word] = found
         return found
 
     def ids(self, text: str | None) -> bytes:
@@ -87,10 +87,11 @@ class WordIds:
         if any(s in text for s in self.special):
             return self._all(text)
         words = text.encode("utf-8", "replace").lower().split()
-        found = list(map(self.cache.get, words))
+        cache = worker_cache("packing " + self.path)
+        found = list(map(cache.get, words))
         if None in found:
             word = self._word
-            found = [word(w) if x is None else x for w, x in zip(words, found, strict=True)]
+            found = [word(w, cache) if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 
 
@@ -112,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = _tokenizer(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids, number, start, length, crc = [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = tokens.ids(text.as_py()) + end
@@ -187,18 +188,31 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, certified boolean, fill long"
 
 
+def _whole_bins(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Rows sorted by ``sequence_id`` regrouped into tables of about ``rows`` rows that end with a sequence."""
+    held: list[pa.Table] = []
+    for table in chunks(batches, rows):
+        table = pa.concat_tables([*held, table])
+        ids = table["sequence_id"].to_numpy()
+        cut = int(np.searchsorted(ids, ids[-1]))
+        held = [table.slice(cut)]
+        if cut:
+            yield table.slice(0, cut)
+    yield from held
+
+
 def _pack(batches: Iterator[pa.RecordBatch], turn: int, rows: int, capacity: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get().partitionId()
-    # After an exchange a partition has rows / 2 rows on average and must not be cut inside a bin.
-    for k, table in enumerate(chunks(batches, 3 * rows if turn else rows)):
+    for k, table in enumerate(_whole_bins(batches, rows) if turn else chunks(batches, rows)):
         lengths = table["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
-        certified = np.full(len(bins), len(fill) == lower_bound(lengths, capacity))
-        sequence, full = bins + (((turn << 24 | task) << 16 | k) << 18), fill[bins]
+        sequence, full, used = bins + (((turn << 24 | task) << 16 | k) << 18), fill[bins], len(fill)
         if turn:
             old = table["sequence_id"].to_numpy()
-            if len(np.unique(old)) <= len(fill):  # the exchange did not help here
-                sequence, offsets, full = old, table["offset"].to_numpy(), table["fill"].to_numpy()
+            before = len(np.unique(old))
+            if before <= used:  # the exchange did not help here
+                sequence, offsets, full, used = old, table["offset"].to_numpy(), table["fill"].to_numpy(), before
+        certified = np.full(len(bins), used == lower_bound(lengths, capacity))
         base = table.select(["doc_id", "piece", "start", "length", "ids_crc32"])
         for name, value in (("sequence_id", sequence), ("offset", offsets), ("certified", certified), ("fill", full)):
             base = base.append_column(name, pa.array(value))
@@ -215,40 +229,55 @@ def _opened(fills: dict[int, int], gap: int, share: int, capacity: int) -> int:
     return capacity - 1
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, partition_rows: int = PARTITION_ROWS, progress: float = PROGRESS) -> DataFrame:
     """Give every piece (``doc_id, piece, start, length, ids_crc32``) a ``sequence_id`` and an ``offset``.
 
-    ``certified`` tells that the piece's packing partition was packed in as few
-    bins as any packing of it could be.  Packing partitions are runs of at most
+    ``certified`` tells that the piece's packing partition, without the full
+    bins that it had set aside before, was packed in as few bins as any
+    packing of it could be.  Packing partitions are runs of at most
     ``partition_rows`` rows, so a task's memory is bounded whatever the input,
     and hot ids or equal lengths cannot crowd one of them.  Each round is
-    written out; only opened bins move, whole bins together.  A round that
-    brings nothing is followed by one that opens many more.  Rounds end when
-    the whole meets its bound, when opening every bin brings nothing, or after
-    ``rounds``.
-    An empty table gives no rows.
+    written out; only opened bins move, whole bins together.
+
+    Partitions that are not certified exchange first, until all are or a round
+    closes less than ``progress`` of the gap to the bound of the whole.  Then
+    bins of all partitions are opened, the emptiest first; a round that brings
+    nothing is followed by one that opens many more.  It ends when the whole
+    meets its bound, or when opening every bin that is not full brings less
+    than ``progress`` of the gap.  Ties and repeated rows are separate pieces;
+    an empty table gives no rows.
     """
     if partition_rows > 1 << 16:
         raise ValueError("partition_rows is limited to 65536 by the layout of sequence ids")
     out = durable(parts.mapInArrow(lambda it: _pack(it, 0, partition_rows, capacity), PACKED), "packed")
     counts = out.groupBy("length").count().collect()  # at most `capacity` rows
     least = lower_bound(np.repeat([r["length"] for r in counts], [r["count"] for r in counts]).astype(np.int64), capacity)
-    before, share, limit = None, 2, 0
-    for turn in range(1, rounds + 1):
-        # One row of every bin has offset 0; a row for each fill, so at most `capacity` rows.
-        fills = {r["fill"]: r["count"] for r in out.where("offset = 0").groupBy("fill").count().collect()}
-        total = sum(fills.values())
-        if total <= least or total == before and limit == capacity - 1:
+    apart, share, limit, before = True, 2, 0, None
+    for turn in range(1, 32):  # the layout of sequence ids ends here
+        # One row of every bin has offset 0; two rows for each fill at most.
+        bins = out.where("offset = 0").groupBy("fill", "certified").count().collect()
+        total = sum(r["count"] for r in bins)
+        stalled = before is not None and before - total <= progress * (before - least)
+        if total <= least or stalled and not apart and limit == capacity - 1:
             break
-        share = 8 * share if total == before else share
+        if apart and (stalled or not any(r["fill"] < capacity and not r["certified"] for r in bins)):
+            apart, stalled = False, False
         before = total
-        limit = _opened(fills, total - least, share, capacity)
-        moving = out.where(F.col("fill") <= limit)
-        # Bins stay whole: a partition holds all pieces of its bins.
+        if apart:
+            moves = ~F.col("certified") & (F.col("fill") < capacity)
+        else:
+            share = 8 * share if stalled else share
+            fills: dict[int, int] = {}
+            for r in bins:
+                fills[r["fill"]] = fills.get(r["fill"], 0) + r["count"]
+            limit = _opened(fills, total - least, share, capacity)
+            moves = F.col("fill") <= limit
+        moving = out.where(moves)
         n = max(1, -(-2 * moving.count() // partition_rows))
-        again = moving.repartition(n, "sequence_id").sortWithinPartitions("sequence_id")
+        # Bins stay whole: a partition holds all pieces of its bins, others every time.
+        again = moving.repartition(n, F.xxhash64("sequence_id", F.lit(turn))).sortWithinPartitions("sequence_id")
         packed = durable(again.mapInArrow(lambda it, t=turn: _pack(it, t, partition_rows, capacity), PACKED), f"packed{turn}")
-        out = out.where(F.col("fill") > limit).unionByName(packed)
+        out = out.where(~moves).unionByName(packed)
     return out.drop("fill")
 
 
