@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import CACHED_BYTES, durable, release, worker_cache
+from .common import CACHED_BYTES, durable, release, slices, worker_cache
 
 
 class Rule(NamedTuple):
@@ -129,57 +129,39 @@ def _emitted(hashes: np.ndarray, counted: int, rule: Rule) -> tuple[int, int]:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, rule: Rule, counted: int) -> DataFrame:
-    """``doc_id, sig, key, n, n_counted`` of every row; sig is a hash of the text, key is null for an empty set."""
+    """``doc_id, sig, key, n, n_counted, tokens`` of every row.
+
+    sig is a hash of the text, key is null for an empty set.  tokens are the
+    indexed shingles; null for sets that only equal sets can link with, and
+    for a set met before in the same task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n, c = [], [], []
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            key, n, c, tokens = [], [], [], []
             for text in batch.column("text"):
                 h = shingles(text.as_py(), rule.words)
-                key.append(set_key(h) if len(h) else None)
+                own = set_key(h) if len(h) else None
+                first, every = _emitted(h, counted, rule)
+                key.append(own)
                 n.append(len(h))
-                c.append(_emitted(h, counted, rule)[0])
+                c.append(first)
+                tokens.append(None if rule.equal_only(len(h)) or own in seen else h[:every].view(np.int64))
+                seen.add(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("sig"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32())],
-                ["doc_id", "sig", "key", "n", "n_counted"],
+                [batch.column("doc_id"), batch.column("sig"), pa.array(key, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))],
+                ["doc_id", "sig", "key", "n", "n_counted", "tokens"],
             )
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "doc_id long, sig long, key long, n int, n_counted int")
-
-
-def _postings(docs: DataFrame, text_col: str, rule: Rule, counted: int) -> DataFrame:
-    """``token, key, late``: the indexed shingles of every set; ``late`` is the position of one that isn't counted, else -1.
-
-    Sets that only equal sets can link with have none.  A set met again in the
-    same task is not given again.
-    """
+    return own.mapInArrow(run, "doc_id long, sig long, key long, n int, n_counted int, tokens array<long>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            tokens, keys, late = [], [], []
-            for text in batch.column("text"):
-                h = shingles(text.as_py(), rule.words)
-                if rule.equal_only(len(h)):
-                    continue
-                key = set_key(h)
-                if key in seen:
-                    continue
-                seen.add(key)
-                first, every = _emitted(h, counted, rule)
-                tokens.append(h[:every])
-                keys.append(np.full(every, key, np.int64))
-                pos = np.full(every, -1, np.int32)
-                pos[first:] = np.arange(first, every)
-                late.append(pos)
-            if tokens:
-                columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(late))]
-                whole = pa.RecordBatch.from_arrays(columns, ["token", "key", "late"])
-                for at in range(0, whole.num_rows, 1 << 16):
-                    yield whole.slice(at, 1 << 16)
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, key long, late int")
+def _postings(members: DataFrame) -> DataFrame:
+    """``token, key, late``: the indexed shingles of every set; ``late`` is the position of one that isn't counted, else -1."""
+    rows = members.where("tokens is not null").select("key", "n_counted", F.posexplode("tokens").alias("at", "token"))
+    return rows.select("token", "key", F.when(F.col("at") >= F.col("n_counted"), F.col("at")).otherwise(-1).alias("late"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,15 +219,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _index(docs: DataFrame, sets: DataFrame, text_col: str, rule: Rule, counted: int) -> DataFrame:
+def _index(members: DataFrame, rule: Rule) -> DataFrame:
     """``token, key, n, pos``: every set's prefix shingles that another set has indexed too.
 
     Order: counted shingles by (list length, hash), then the others by hash.
     Shingles in one list only come first and cannot make a pair, so a set with
     a prefix full of them is not in the index at all.
     """
+    sets = members.where("key is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("n_counted").alias("n_counted"))
     shared = (
-        _postings(docs, text_col, rule, counted)
+        _postings(members)
         .repartition("token")
         .sortWithinPartitions("token", "key")
         .mapInArrow(_shared, "token long, key long, late int, df int")
@@ -270,7 +253,7 @@ def _contents(docs: DataFrame, wanted: DataFrame, members: DataFrame, id_col: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             sets = [shingles(t.as_py(), rule.words) for t in batch.column("text")]
             keys = [set_key(h) if len(h) else None for h in sets]
             hashes = pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))
@@ -630,8 +613,7 @@ def _roots(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[Dat
     """``_members`` of the table, and ``node, root`` of the indexed sets; any other set is a component by itself."""
     counted = int(COUNTED * 2**64)
     members = durable(_members(docs, id_col, text_col, rule, counted), "members")
-    sets = members.where("key is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("n_counted").alias("n_counted"))
-    index = durable(_index(docs, sets, text_col, rule, counted), "index")
+    index = durable(_index(members, rule), "index")
     active = index.select("key").distinct()
     contents = durable(_contents(docs, active, members, id_col, text_col, rule), "sets")
     labels = _links(index, contents, rule)
