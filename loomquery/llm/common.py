@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -31,11 +32,23 @@ CACHE_ENTRIES, CACHED_BYTES = 60_000, 48
 _cache: tuple[str, dict] = ("", {})
 
 
+def trim() -> None:
+    """Give memory that a Python worker no longer uses back to the system; workers are kept for later tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def worker_cache(owner: str) -> dict:
     """This Python worker's cache: emptied when it is full and when another operator comes to use it."""
     global _cache
     if _cache[0] != owner:
         _cache = (owner, {})
+        trim()
     elif len(_cache[1]) >= CACHE_ENTRIES:
         _cache[1].clear()
     return _cache[1]
@@ -91,6 +104,7 @@ def slices(batches: Iterator, column: str) -> Iterator:
             end = min(max(end, at + 1), at + SLICE_ROWS)
             yield batch.slice(at, end - at)
             at = end
+    trim()
 
 
 def chunks(batches: Iterator, rows: int) -> Iterator:

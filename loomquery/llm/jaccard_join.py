@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import CACHED_BYTES, durable, release, slices, worker_cache
+from .common import CACHED_BYTES, durable, release, slices, trim, worker_cache
 
 
 class Rule(NamedTuple):
@@ -381,6 +381,8 @@ def _units(entries: DataFrame, rule: Rule) -> DataFrame:
     """
     cols = [*ENTRY[1:], "root", "sketch"]
     short = entries.where(f"df <= {CHUNK}").select(F.col("list").alias("unit"), F.lit(0).cast("byte").alias("side"), *cols)
+    if entries.where(f"df > {CHUNK}").isEmpty():
+        return short
     most = F.lit(rule.den - rule.num) * F.col("n") / F.lit(rule.num)
     long = entries.where(f"df > {CHUNK}").withColumn("block", _size_block("n", rule)).withColumn("step", F.floor(F.lit(8) * F.col("pos") / (most + 1)).cast("int"))
     parts = long.groupBy("list", "block", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("long").alias("parts"))
@@ -475,6 +477,8 @@ def _candidates(entries: DataFrame, likely: bool, rule: Rule) -> DataFrame:
             held.append(batch.slice(cut))
         if held:
             yield from opened(held)
+        held = []
+        trim()
 
     dealt = _units(entries, rule).repartition("unit").sortWithinPartitions("unit")
     found = dealt.mapInArrow(run, "key_a long, key_b long, near long")

@@ -11,8 +11,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomquery.llm import jaccard_join, language_id, packing, quality, queries, toxicity, warc
-from loomquery.llm.common import py_id_remainder
+from loomquery.llm import jaccard_join, language_id, license_rules, packing, quality, queries, toxicity, warc
+from loomquery.llm.common import py_id_remainder, word_list
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -312,6 +312,19 @@ def test_warc_round_trip(spark):
         keeper = largest[h or ""]
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == keeper else ("revisit", keeper))
         assert r["payload"] is None if i != keeper else bytes(r["payload"]) == data
+    archives = {r["archive"] for r in index.collect()}
+    heads = {}
+    for name in archives:
+        data = open(name.removeprefix("file:"), "rb").read() if name.startswith("file:/") and not name.startswith("file://") else open(name.removeprefix("file://"), "rb").read()
+        while data:
+            one = zlib.decompressobj(31)
+            raw, data = one.decompress(data), one.unused_data
+            lines = [x.partition(": ")[::2] for x in raw.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]]
+            heads[dict(lines)["WARC-Record-ID"]] = dict(lines)
+    assert sum(h["WARC-Type"] == "warcinfo" for h in heads.values()) == len(archives)
+    revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert revisits and all(heads[h["WARC-Refers-To"]]["WARC-Type"] == "response" for h in revisits)
+    assert read[0]["url"] == "http://a/%0D%0AX:%201" and read[1]["url"] == "urn:page:1"
     some = warc.read_records(index.where("page_id in (2, 6)")).collect()
     assert sorted(r["page_id"] for r in some) == [2, 6]
     loose = warc.read_records(warc.write_archives(pages, min_revisit_bytes=6)).collect()
@@ -499,15 +512,49 @@ def test_toxicity_character_model_covers_all_documents(spark):
 # Pipeline
 
 
+def plain_contaminated(texts, items, window=13):
+    """The ids whose texts hold benchmark windows over a twentieth of their words."""
+    windows = {}
+    for item in items:
+        w = word_list(item)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(len(w[i : i + window]), set()).add(tuple(w[i : i + window]))
+    out = set()
+    for d, t in texts:
+        w = word_list(t)
+        hit = {p for n, own in windows.items() for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in own for p in range(i, i + n)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(d)
+    return out
+
+
 def test_pipeline_stages_in_turn(spark):
+    """Each stage against a plain version of its rule, over all that the stage before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, n = docs.columns, docs.count()
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    columns = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        if name == "toxicity":
+            model = toxicity.train(docs, labels)
+            lexicon = {w: model.weight[i] for w, i in model.lexicon.items()}
+            want = set()
+            for d, t in before:
+                words = {w for part in model.restore(t).lower().split() for w in [toxicity.letters(part), part.strip(".,;:?")]}
+                z = model.weight[-1] + sum(lexicon.get(w, 0) for w in words)
+                want |= {d} if z < 0 else set()
+        elif name == "quality_classifier":
+            model = quality.train(docs, labels)
+            want = {d for d, t in before if model.score(t) >= 0.3}
+        elif name == "ngram_jaccard_join":
+            want = {c for _, _, c in plain_components(before, 5, 80)}
+        else:
+            want = {d for d, _ in before} - plain_contaminated(before, items)
         docs = stage(spark, docs, SF).persist()
         assert docs.columns == columns, name
-        left = docs.count()
-        assert 0 < left <= n, name
-        n = left
+        assert {r["doc_id"] for r in docs.collect()} == want, name
+        assert 0 < len(want) <= len(before), name
     keep = plain_components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 5, 80)
     assert all(d == c for d, _, c in keep)
     rows = corpus_pipeline.run(spark, SF).collect()
@@ -608,3 +655,58 @@ def test_mixture_equals_plain_expectation_maximisation():
         langs, shares, full = model.mixture(text)
         assert np.abs(full - w).max() < 1e-9
         assert langs and abs(sum(shares) - 1) < 1e-6 and langs[0] in model.langs
+
+
+# The contract's queries themselves
+
+
+def documents(spark):
+    return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_license_query_against_every_rule_tried_everywhere(spark):
+    from test_row_operators import plain_scan
+
+    rules, texts = license_rules.rules(), documents(spark)
+    rows = {r["doc_id"]: r for r in queries.op1_license_scan(spark, SF).collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        n, kept = plain_scan(t, rules)
+        base = [d for d in kept if d[5]]
+        assert (rows[i]["n_words"], rows[i]["n_base"], rows[i]["n_detections"]) == (n, len(base), len(kept))
+        assert rows[i]["labels"] == ",".join(sorted({d[4] for d in kept})) and rows[i]["base_labels"] == ",".join(sorted({d[4] for d in base}))
+
+
+def test_packing_query_holds_every_token(spark):
+    from tokenizers import Tokenizer
+
+    tok, texts = Tokenizer.from_file(queries.tokenizer_path()), documents(spark)
+    rows = queries.op4_packing(spark, SF).collect()
+    sequences_are_sound(rows, 2048)
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for i, t in texts.items():
+        ids = np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert sorted(got[i]) == [(k, s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+
+
+def test_media_query_gives_back_every_byte(spark):
+    import hashlib
+
+    texts = documents(spark)
+    for r in queries.op7_media_columns(spark, SF).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        whole = data + b"\xff" * (-len(data) % 576 if data else 576)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
+        assert f"frames={len(whole) // 576};" in r["feature"] and "id3v1=true" in r["feature"] and "crc_bad=0" in r["feature"]
+
+
+@pytest.mark.parametrize("query, threshold", [(queries.op8_toxicity, 0.5), (queries.op9_quality_classifier, 0.3)])
+def test_classifier_queries(spark, query, threshold):
+    rows, texts = query(spark, SF).collect(), documents(spark)
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= threshold) and r["held_out"] == (py_id_remainder(r["doc_id"], 5) == 0) for r in rows)
+    by_text = {}
+    for r in rows:
+        assert by_text.setdefault(texts[r["doc_id"]], r["score"]) == r["score"]
