@@ -54,12 +54,9 @@ def run(spark: SparkSession, strategies: Sequence[str], docs: DataFrame, queries
 
 def summary(by_query: DataFrame) -> DataFrame:
     """Leaderboard with positional latency percentiles."""
-    latency = by_query.groupBy("strategy").agg(
-        F.avg("latency_ms").alias("latency_mean_ms"),
-        metrics.position_percentile("latency_ms", 0.5).alias("latency_p50_ms"),
-        metrics.position_percentile("latency_ms", 0.95).alias("latency_p95_ms"),
-    )
-    return metrics.leaderboard(by_query).join(latency, "strategy").orderBy(F.desc("ndcg_10"), "strategy")
+    mean = by_query.groupBy("strategy").agg(F.avg("latency_ms").alias("latency_mean_ms"))
+    latency = metrics.position_percentiles(by_query, "strategy", "latency_ms", {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95})
+    return metrics.leaderboard(by_query).join(mean, "strategy").join(latency, "strategy").orderBy(F.desc("ndcg_10"), "strategy")
 
 
 def save(by_query: DataFrame, path: str) -> None:

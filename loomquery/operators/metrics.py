@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,7 +63,14 @@ def leaderboard(by_query: DataFrame) -> DataFrame:
     return by_query.groupBy("strategy").agg(*(F.avg(c).alias(c) for c in names)).orderBy(F.desc("ndcg_10"), "strategy")
 
 
-def position_percentile(value: str, p: float) -> Column:
-    """The value at position floor(n * p) of the sorted values, counted from 0, exact for groups of bounded size."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.element_at(ordered, F.least(F.size(ordered), F.floor(F.size(ordered) * p).cast("int") + 1))
+def position_percentiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """For each group, the values at positions floor(n * share) of its sorted values, counted from 0, under the names of ``shares``.
+
+    Nulls have no position.  A group is sorted, not held, so its size is not
+    bounded by memory.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    own = Window.partitionBy(by)
+    placed = rows.select(by, value, (F.row_number().over(own.orderBy(value)) - 1).alias("_at"), F.count(F.lit(1)).over(own).alias("_n"))
+    at = {name: F.least(F.col("_n") - 1, F.floor(F.col("_n") * share)) for name, share in shares.items()}
+    return placed.groupBy(by).agg(*(F.max(F.when(F.col("_at") == place, F.col(value))).alias(name) for name, place in at.items()))

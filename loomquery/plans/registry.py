@@ -533,5 +533,4 @@ def strategy_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 select user_id, max(case when i = n // 2 then value end) as p50, max(case when i = least(n - 1, floor(n * 0.95)::bigint) then value end) as p95 from o group by user_id"""
 )
 def latency_position_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_user = _table(spark, sf_dir, "events").groupBy("user_id")
-    return by_user.agg(metrics.position_percentile("value", 0.5).alias("p50"), metrics.position_percentile("value", 0.95).alias("p95"))
+    return metrics.position_percentiles(_table(spark, sf_dir, "events"), "user_id", "value", {"p50": 0.5, "p95": 0.95})
