@@ -27,7 +27,9 @@ SMOOTH = 0.5
 #: Cost of one more language, in times half the logarithm of the number of n-grams.
 #: n-grams overlap three times in each order and in three orders, so they count for a ninth as evidence.
 PENALTY = 9.0
-EM_STEPS, CLEAR = 25, 0.995
+EM_STEPS = 25
+#: Languages at most: each is a table of 2^BITS numbers on the driver and in every worker.
+MAX_LANGS = 512
 
 _LETTER: np.ndarray | None = None
 
@@ -74,7 +76,9 @@ class Model:
     def mixture(self, text: str | None, penalty: float = PENALTY) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Chosen languages, their proportions, and the proportions over all languages.
 
-        Empty where the text has no letter or nothing was learned.
+        Sets grow by the proportions over all languages while the penalised
+        likelihood rises.  Ties go to the language that sorts first.  Empty
+        where the text has no letter or nothing was learned.
         """
         x, n = grams(text)
         if not len(x) or not self.langs:
@@ -82,19 +86,16 @@ class Model:
         p, total = self.prob[x], n.sum()
         full, _ = _em(p, n, np.full(len(self.langs), 1 / len(self.langs)))
         order = np.argsort(-full, kind="stable")
-        chosen, share = order[:1], np.ones(1)
-        value = float(n @ np.log(p[:, order[0]]))
-        if full[order[0]] < CLEAR:
-            cost = penalty * 0.5 * np.log(total)
-            singles = n @ np.log(p)
-            best = int(np.argmax(singles))
-            chosen, value = np.asarray([best]), float(singles[best])
-            for k in range(2, len(order) + 1):
-                subset = order[:k]
-                weights, fit = _em(p[:, subset], n, np.full(k, 1 / k))
-                if fit - cost * (k - len(chosen)) <= value:
-                    break
-                chosen, share, value = subset, weights, fit
+        cost = penalty * 0.5 * np.log(total)
+        singles = n @ np.log(p)
+        best = int(np.argmax(singles))
+        chosen, share, value = np.asarray([best]), np.ones(1), float(singles[best])
+        for k in range(2, len(order) + 1):
+            subset = order[:k]
+            weights, fit = _em(p[:, subset], n, np.full(k, 1 / k))
+            if fit - cost * (k - len(chosen)) <= value:
+                break
+            chosen, share, value = subset, weights, fit
         rank = np.argsort(-share, kind="stable")
         return [self.langs[i] for i in chosen[rank]], share[rank], full
 
@@ -129,7 +130,10 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         (id_remainder("id", hold_out[0]) != hold_out[1]) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    found = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(found) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return Model([], np.empty((1 << BITS, 0)))
     limit = F.lit(0)
@@ -159,7 +163,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     """Add struct ``out_col``: ``lang``, ``score``, and the chosen set as ``langs`` and ``shares``.
 
     Null, empty and letterless texts are ``und`` with score 0.  Rows are
-    independent; other columns pass through (one named like ``out_col`` is
+    independent, so repeated ones fare alike and an empty table gives none;
+    texts are read whole; other columns pass through (one named like ``out_col`` is
     replaced).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2^16 numbers for each language

@@ -325,6 +325,9 @@ def test_warc_round_trip(spark):
     revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
     assert revisits and all(heads[h["WARC-Refers-To"]]["WARC-Type"] == "response" for h in revisits)
     assert read[0]["url"] == "http://a/%0D%0AX:%201" and read[1]["url"] == "urn:page:1"
+    twice = spark.createDataFrame([(4, "u", "same"), (4, "u", "same"), (3, "u", "same")], "page_id long, url string, html string")
+    kinds = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark, twice).collect())
+    assert kinds == [(3, "revisit", 4), (4, "response", None), (4, "response", None)]
     some = warc.read_records(index.where("page_id in (2, 6)")).collect()
     assert sorted(r["page_id"] for r in some) == [2, 6]
     loose = warc.read_records(warc.write_archives(pages, min_revisit_bytes=6)).collect()
@@ -351,7 +354,9 @@ def test_language_mixture(spark):
     langs, shares, _ = model.mixture(text("aa", 60) + " " + text("cc", 30))
     assert langs == ["aa", "cc"] and abs(shares[0] - 2 / 3) < 0.05
     assert model.mixture(text("bb", 40))[0] == ["bb"]
-    asked = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, text("bb", 3)), (5, "A" * 200_000)], DOCS).withColumn("language", F.lit(0))
+    tied = language_id.Model(["x", "y"], np.full((1 << language_id.BITS, 2), 1e-4))
+    assert tied.mixture("abc")[0] == ["x"]
+    asked = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, text("bb", 3)), (5, "A" * 200_000), (5, "A" * 200_000)], DOCS).withColumn("language", F.lit(0))
     got = {r["doc_id"]: r["language"] for r in language_id.identify(asked, model).collect()}
     assert [got[i]["lang"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang"] == "bb" and got[5]["lang"] == "aa"
     assert all(0 <= r["score"] <= 1 for r in got.values())
@@ -421,7 +426,9 @@ def test_toxicity_restores_obfuscated_words(spark):
     for bad in ("v1l3grub", "VILEGRUB!!", "viiilegrub", "v i l e g r u b", "v.i.l.e.g.r.u.b", "mudbr@in,", "$tinkhead", "st1nkh34d", "mu*brain"):
         assert model.score(text(bad)) > 0.5, bad
     assert model.restore("a mudbr41n b") == "a mudbrain b" and model.restore(None) == ""
-    rows = {r["doc_id"]: r["toxicity"] for r in toxicity.score(docs, model).collect()}
+    clash = docs.withColumns({"toxicity": F.lit(1), "_row": F.lit("x"), "_s": F.lit(2.0)})
+    assert toxicity.score(clash, model).columns == ["doc_id", "text", "_row", "_s", "toxicity"]
+    rows = {r["doc_id"]: r["toxicity"] for r in toxicity.score(clash, model).collect()}
     held = [i for i in range(400) if py_id_remainder(i, 5) == 0]
     assert all(rows[i]["predicted"] == texts[i][1] for i in held)
     assert toxicity.train(docs, labels.limit(0)).score("x") == 0.5
