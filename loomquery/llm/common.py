@@ -27,9 +27,9 @@ def word_list(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_TABLE).split()
 
 
-#: Entries of a Python worker's cache, and bytes of a key that is kept: some 10 MB at most.
-CACHE_ENTRIES, CACHED_BYTES = 60_000, 48
-_cache: tuple[str, dict] = ("", {})
+#: Entries of each of the two generations of a Python worker's cache, and bytes of a key that is kept: some 45 MB at most.
+CACHE_ENTRIES, CACHED_BYTES = 120_000, 48
+_cache: tuple[str, dict, dict] = ("", {}, {})
 
 
 def trim() -> None:
@@ -43,15 +43,19 @@ def trim() -> None:
         pass
 
 
-def worker_cache(owner: str) -> dict:
-    """This Python worker's cache: emptied when it is full and when another operator comes to use it."""
+def worker_cache(owner: str) -> tuple[dict, dict]:
+    """This Python worker's recent and older entries; both emptied when another operator comes to use it.
+
+    When the recent ones are full, they become the older ones, so what is used
+    often stays: who finds an entry among the older ones puts it back.
+    """
     global _cache
     if _cache[0] != owner:
-        _cache = (owner, {})
+        _cache = (owner, {}, {})
         trim()
     elif len(_cache[1]) >= CACHE_ENTRIES:
-        _cache[1].clear()
-    return _cache[1]
+        _cache = (owner, {}, _cache[1])
+    return _cache[1:]
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:

@@ -93,7 +93,7 @@ def shingles(text: str | None, words: int = 4) -> np.ndarray:
     tokens = text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
     if not tokens:
         return np.empty(0, np.uint64)
-    known = worker_cache("jaccard_join")
+    known, _ = worker_cache("jaccard_join")  # a hash is as quick as a second look
     found = list(map(known.get, tokens))
     if None in found:
         for i, x in enumerate(found):

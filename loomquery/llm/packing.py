@@ -15,6 +15,7 @@ are exchanged in the same way.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,11 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Token ids of whole texts, word by word, equal to encoding the text at once.
 
@@ -60,20 +66,25 @@ class WordIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _all(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: bytes, cache: dict[bytes, bytes]) -> bytes:
+    def _word(self, word: bytes, cache: dict[bytes, bytes], older: dict[bytes, bytes]) -> bytes:
         found = cache.get(word)
         if found is not None:
             return found
+        if (found := older.get(word)) is not None:
+            cache[word] = found
+            return found
         if len(word) > 1 and word[-1] in b".," and (48 <= word[-2] <= 57 or 97 <= word[-2] <= 122):
-            found = self._word(word[:-1], cache) + self._word(word[-1:], cache)  # a mark after a letter or digit is a piece of its own
+            found = self._word(word[:-1], cache, older) + self._word(word[-1:], cache, older)  # a mark after a letter or digit is a piece of its own
+        elif word.isalpha():  # a-z stand for themselves
+            found = _packed([t.id for t in self.model.tokenize(word.decode())])
         else:
             text = word.decode()
             letters = text.translate(_UPPER)
             if _LETTERS.fullmatch(letters):
                 letters = letters.encode().decode("latin-1").translate(self.chars)
-                found = np.asarray([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+                found = _packed([t.id for t in self.model.tokenize(letters)])
             else:
                 found = self._all(text)
         if len(word) <= CACHED_BYTES:
@@ -87,11 +98,11 @@ class WordIds:
         if any(s in text for s in self.special):
             return self._all(text)
         words = text.encode("utf-8", "replace").lower().split()
-        cache = worker_cache("packing " + self.path)
+        cache, older = worker_cache("packing " + self.path)
         found = list(map(cache.get, words))
         if None in found:
             word = self._word
-            found = [word(w, cache) if x is None else x for w, x in zip(words, found, strict=True)]
+            found = [word(w, cache, older) if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 
 

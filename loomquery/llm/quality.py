@@ -40,13 +40,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word and shape hashes of tokens; the worker remembers those of short ones."""
-    cache = worker_cache("quality")
+    cache, older = worker_cache("quality")
     found = list(map(cache.get, tokens))
     if None in found:
         for i, x in enumerate(found):
             if x is None:
                 t = tokens[i]
-                found[i] = xxh3_64_digest(t.lower()) + xxh3_64_digest(shape(t), 1)
+                found[i] = older.get(t) or xxh3_64_digest(t.lower()) + xxh3_64_digest(shape(t), 1)
                 if len(t) <= CACHED_BYTES:
                     cache[t] = found[i]
     both = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).reshape(-1, 2)

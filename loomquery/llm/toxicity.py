@@ -450,7 +450,7 @@ class Model:
     def hits(self, text: str | None) -> list[int]:
         """Numbers of the lexicon words of the restored text, sorted."""
         tokens = text.split() if text else []
-        cache = worker_cache(self.name)
+        cache, older = worker_cache(self.name)
         read = list(map(cache.get, tokens))
         if None in read:
             for k, x in enumerate(read):
@@ -458,7 +458,8 @@ class Model:
                     t = tokens[k]
                     read[k] = cache.get(t)
                     if read[k] is None:
-                        read[k] = self._token(t)
+                        known = older.get(t)
+                        read[k] = self._token(t) if known is None else known
                         if len(t) <= CACHED_BYTES:
                             cache[t] = read[k]
         special = [(k, x) for k, x in enumerate(read) if x]
