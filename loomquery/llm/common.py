@@ -43,17 +43,18 @@ def trim() -> None:
         pass
 
 
-def worker_cache(owner: str) -> tuple[dict, dict]:
+def worker_cache(owner: str, entries: int | None = None) -> tuple[dict, dict]:
     """This Python worker's recent and older entries; both emptied when another operator comes to use it.
 
     When the recent ones are full, they become the older ones, so what is used
     often stays: who finds an entry among the older ones puts it back.
+    ``entries``: of a generation, where they are not ``CACHE_ENTRIES``.
     """
     global _cache
     if _cache[0] != owner:
         _cache = (owner, {}, {})
         trim()
-    elif len(_cache[1]) >= CACHE_ENTRIES:
+    elif len(_cache[1]) >= (entries or CACHE_ENTRIES):
         _cache = (owner, {}, _cache[1])
     return _cache[1:]
 

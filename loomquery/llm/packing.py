@@ -33,6 +33,9 @@ PARTITION_ROWS = 1 << 16
 #: Exchanges go on while each closes this part of the gap to the bound of the whole.
 PROGRESS = 0.01
 
+#: Words of each of the two generations whose ids a worker remembers: some 100 MB at most, as a miss costs many times a hit.
+CACHE_WORDS = 250_000
+
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
 _UPPER = {c: c + 32 for c in [*range(0xC0, 0xD7), *range(0xD8, 0xDF)]}
 
@@ -98,7 +101,7 @@ class WordIds:
         if any(s in text for s in self.special):
             return self._all(text)
         words = text.encode("utf-8", "replace").lower().split()
-        cache, older = worker_cache("packing " + self.path)
+        cache, older = worker_cache("packing " + self.path, CACHE_WORDS)
         found = list(map(cache.get, words))
         if None in found:
             word = self._word

@@ -717,3 +717,14 @@ def test_classifier_queries(spark, query, threshold):
     by_text = {}
     for r in rows:
         assert by_text.setdefault(texts[r["doc_id"]], r["score"]) == r["score"]
+
+
+def test_worker_caches_keep_two_generations_of_one_operator():
+    from loomquery.llm import common
+
+    common.worker_cache("a")[0].update({k: k for k in range(3)})
+    recent, older = common.worker_cache("a", entries=3)
+    assert not recent and older == {0: 0, 1: 1, 2: 2}
+    recent[9] = 9
+    assert common.worker_cache("a", entries=3)[0] is recent
+    assert common.worker_cache("b") == ({}, {})
