@@ -13,7 +13,7 @@ from ..functions import vectors as vx
 from . import ranking
 from .models import even, unit_rows
 
-#: Query vectors sent to every task at most; more are searched in blocks.
+#: Query vectors sent to every task at once, about; more are searched in blocks.
 BLOCK_QUERIES = 2048
 #: Rows multiplied with a block of queries at once.
 BLOCK_ROWS = 4096
@@ -45,25 +45,30 @@ def best_of(scores: np.ndarray, index: np.ndarray, k: int) -> tuple[np.ndarray,
     return cols[keep], rows[keep]
 
 
+def query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries (query_id, query_vector) that have a vector, about ``BLOCK_QUERIES`` at a time, dealt by a hash of the id."""
+    asked = queries.where("query_vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "query_vector")
+    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    for b in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # one block
+        if own:
+            yield np.asarray([r["query_id"] for r in own]), unit_rows(np.asarray([r["query_vector"] for r in own], float))
+
+
 def batch_search(table: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id, rank, index, score`` for each row of ``queries`` (query_id, query_vector).
 
-    The queries are sent to every task in blocks of at most
+    The queries are sent to every task in blocks of about
     ``BLOCK_QUERIES``, so what is sent stays bounded; the table is never
     shuffled: a task multiplies its rows with a block and passes on the best
     of each.  Rows and queries without a vector are left out.
     """
     ranking.check_k(top_k)
     spark = table.sparkSession
-    asked = queries.where("query_vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "query_vector")
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     rows = table.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("index"), F.col(vector).alias("v"))
     out = None
-    for b in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # one block
-        if not own:
-            continue
-        held = spark.sparkContext.broadcast((np.asarray([r["query_id"] for r in own]), unit_rows(np.asarray([r["query_vector"] for r in own], float))))
+    for block in query_blocks(queries):
+        held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             ids, q = held.value

@@ -72,37 +72,44 @@ def search(spark: SparkSession, path: str, queries: DataFrame, top_k: int = 10,
     """``query_id, rank, index, score``: the nearest rows within the ``probes`` cells nearest to each query (query_id, query_vector).
 
     Only the folders of cells that some query probes are read.  Queries are
-    collected and sent to the tasks; they are bounded as in ``knn``.
+    collected and sent to the tasks in blocks, as in ``knn``; each block reads
+    the cells that it probes.
     """
     ranking.check_k(top_k)
-    empty = spark.createDataFrame([], "query_id long, rank long, index long, score double")
     cells = spark.read.parquet(f"{path}/cells").orderBy("cell").toPandas()
-    asked = queries.where("query_vector is not null").select(F.col("query_id").cast("long").alias("query_id"), "query_vector").limit(knn.BLOCK_QUERIES + 1).collect()
-    if len(asked) > knn.BLOCK_QUERIES:
-        raise ValueError(f"at most {knn.BLOCK_QUERIES} queries at once")
-    if not asked or not len(cells):
-        return empty
-    q = unit_rows(np.asarray([r["query_vector"] for r in asked], float))
-    near = np.argsort(-(q @ np.stack(cells["centroid"].to_numpy()).T), axis=1, kind="stable")[:, :probes]
-    wanted = np.zeros((len(cells), len(asked)), bool)
-    wanted[near.ravel(), np.repeat(np.arange(len(asked)), near.shape[1])] = True
-    held = spark.sparkContext.broadcast((np.asarray([r["query_id"] for r in asked]), q, wanted))
+    centroids = np.stack(cells["centroid"].to_numpy()) if len(cells) else None
+    out = None
+    for ids, q in knn.query_blocks(queries) if len(cells) else ():
+        part = _probe(spark, path, ids, q, centroids, top_k, probes)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank long, index long, score double")
+    return ranking.top_k_by(out, top_k).select("query_id", "rank", "index", "score")
+
+
+def _probe(spark: SparkSession, path: str, ids: np.ndarray, q: np.ndarray, centroids: np.ndarray, top_k: int, probes: int) -> DataFrame:
+    """``query_id, index, score``: the best rows for one block of queries in each batch of the cells that it probes."""
+    near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes]
+    wanted = np.zeros((len(centroids), len(q)), bool)
+    wanted[near.ravel(), np.repeat(np.arange(len(q)), near.shape[1])] = True
+    held = spark.sparkContext.broadcast((ids, q, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, wants = held.value
-        for batch in batches:
-            cell, index = batch.column("cell").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
-            rows = unit_rows(knn.matrix(batch.column("v")))
-            for c in np.unique(cell):
-                at, own = np.flatnonzero(cell == c), np.flatnonzero(wants[c])
-                scores = even(rows[at] @ vectors[own].T)
-                cols, places = knn.best_of(scores, index[at], top_k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own[cols]]), pa.array(index[at[places]]), pa.array(scores[places, cols])], ["query_id", "index", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, knn.BLOCK_ROWS):
+                batch = whole.slice(start, knn.BLOCK_ROWS)
+                cell, index = batch.column("cell").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
+                rows = unit_rows(knn.matrix(batch.column("v")))
+                for c in np.unique(cell):
+                    at, own = np.flatnonzero(cell == c), np.flatnonzero(wants[c])
+                    scores = even(rows[at] @ vectors[own].T)
+                    cols, places = knn.best_of(scores, index[at], top_k)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[own[cols]]), pa.array(index[at[places]]), pa.array(scores[places, cols])], ["query_id", "index", "score"])
 
     some = np.flatnonzero(wanted.any(1)).tolist()
     rows = spark.read.parquet(f"{path}/rows").where(F.col("cell").isin(some)).select("cell", "id", "v")
-    found = rows.mapInArrow(run, "query_id long, index long, score double")
-    return ranking.top_k_by(found, top_k).select("query_id", "rank", "index", "score")
+    return rows.mapInArrow(run, "query_id long, index long, score double")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

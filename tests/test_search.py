@@ -329,6 +329,20 @@ def test_vector_index_recall_and_exactness(spark, tmp_path):
     assert vector_index.build(table.where("vec_id = 5000"), empty) == 0 and vector_index.search(spark, empty, asked).count() == 0
 
 
+def test_vector_index_takes_any_number_of_queries(spark, tmp_path, monkeypatch):
+    m = np.random.default_rng(6).standard_normal((300, 8)).astype("float32")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([m, m]))], "vec_id long, embedding array<float>")
+    path = str(tmp_path / "index")
+    vector_index.build(table, path)
+    asked = table.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    few = {p: vector_index.search(spark, path, asked, 5, probes=p).collect() for p in (2, 999)}
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 50)  # 120 queries
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 7)
+    for p, want in few.items():
+        assert len(want) == 600 and set(want) == set(vector_index.search(spark, path, asked, 5, probes=p).collect())
+    assert set(few[999]) == set(knn.batch_search(table, asked, 5).collect())
+
+
 def test_vector_store_tables(spark, tmp_path):
     spark.createDataFrame([(1, "[0.5,1.0]"), (2, None)], "id long, embedding string").write.parquet(str(tmp_path / "t"))
     got = {r["vec_id"]: r["embedding"] for r in vector_store.read_table(spark, str(tmp_path / "t")).collect()}
