@@ -26,7 +26,7 @@ from .models import sign_rows, signs
 TREES, LEAF, CANDIDATES = 3, 50, 200
 #: Levels whose thresholds are sent to every task, at most 2^TOP_LEVELS numbers of each tree; what is below is split inside tasks.
 TOP_LEVELS = 16
-#: Rank accuracy of medians: exact up to this many rows of a node.
+#: Summaries of a node's projections place a value within n / ACCURACY ranks; those of fewer rows than half of it are exact.
 ACCURACY = 10_000
 
 
@@ -37,11 +37,11 @@ def _direction(seed: int, tree: int, node: int, dim: int) -> np.ndarray:
 
 
 def projections(v: np.ndarray, tree: int, nodes: np.ndarray, seed: int) -> np.ndarray:
-    """Each row's projection on the direction of its node."""
+    """Each row's projection on the direction of its node, summed in order: equal rows have equal ones wherever in a batch they stand."""
     out = np.empty(len(v))
     for node in np.unique(nodes):
         own = nodes == node
-        out[own] = v[own] @ _direction(seed, tree, int(node), v.shape[1])
+        out[own] = np.cumsum(v[own] * _direction(seed, tree, int(node), v.shape[1]), axis=1)[:, -1]
     return out
 
 
@@ -83,29 +83,52 @@ def level(docs: DataFrame, thresholds: dict, trees: int, seed: int = 42) -> Data
     return docs.select(F.col("index").cast("long").alias("index"), "v").mapInArrow(run, "index long, tree int, node long, p double")
 
 
-def build(docs: DataFrame, trees: int = TREES, leaf_size: int = LEAF, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def medians(placed: DataFrame, leaf_size: int) -> dict[tuple[int, int], float]:
+    """The lower median of ``p`` for each node of ``placed`` (tree, node, p) with more than ``leaf_size`` rows and a value above it.
+
+    Exact for any number of rows: a summary gives that of a small node, and for
+    a large one a narrow range around it, whose values are then counted.
+    """
+    spark, out, spread = placed.sparkSession, {}, 3 / ACCURACY
+    tops: dict[tuple[int, int], float] = {}
+    while True:
+        near = F.percentile_approx("p", [max(0.0, 0.5 - spread), 0.5, min(1.0, 0.5 + spread)], ACCURACY)
+        nodes = placed.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), near.alias("near"), F.max("p").alias("top")).where(F.col("n") > leaf_size).collect()
+        tops |= {(r["tree"], r["node"]): r["top"] for r in nodes}
+        out |= {(r["tree"], r["node"]): r["near"][1] for r in nodes if 2 * r["n"] < ACCURACY}
+        wide = [(r["tree"], r["node"], (r["n"] - 1) // 2, r["near"][0], r["near"][2]) for r in nodes if (r["tree"], r["node"]) not in out]
+        if not wide:
+            return {k: x for k, x in out.items() if tops[k] > x}
+        ranges = spark.createDataFrame(wide, "tree int, node long, place long, low double, high double")
+        value = F.when(F.col("p") >= F.col("low"), F.col("p")).alias("value")  # null, the first in order, for all below
+        counted = placed.join(F.broadcast(ranges), ["tree", "node"]).where("p <= high").groupBy("tree", "node", "place", value).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("tree", "node").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))  # some thousandths of a node's rows
+        first = counted.withColumn("upto", upto).where("upto > place").groupBy("tree", "node").agg(F.min_by("value", "upto").alias("value"))
+        out |= {(r["tree"], r["node"]): r["value"] for r in first.collect() if r["value"] is not None}
+        spread *= 8  # for a range that missed its median
+
+
+def build(docs: DataFrame, trees: int = TREES, leaf_size: int = LEAF, seed: int = 42, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``index, tree, node`` of every document's leaf, and the inner nodes ``tree, node, threshold``.
 
     A node of more than ``leaf_size`` documents is split at the median of its
     projections, ``<=`` going left to node 2i, others to 2i + 1; a split that
-    leaves one side empty makes a leaf.  Any depth is split: after
-    ``TOP_LEVELS`` levels, the rest of each subtree is built in one task.
+    leaves one side empty makes a leaf.  Any depth is split, or the given
+    number of ``levels`` at most: after ``TOP_LEVELS`` levels, the rest of each
+    subtree is built in one task.
     """
     spark = docs.sparkSession
     thresholds: dict[tuple[int, int], float] = {}
     below = None
     for depth in range(TOP_LEVELS + 1):
-        placed = level(docs, thresholds, trees, seed)
-        large = (
-            placed.where(F.col("node") >= 1 << depth)
-            .groupBy("tree", "node")
-            .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("p", 0.5, ACCURACY).alias("threshold"), F.max("p").alias("top"))
-            .where((F.col("n") > leaf_size) & (F.col("top") > F.col("threshold")))
-        )
+        if depth == levels:
+            break
+        lowest = level(docs, thresholds, trees, seed).where(F.col("node") >= 1 << depth)
         if depth == TOP_LEVELS:
-            below = large.select("tree", "node")
+            large = lowest.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.min("p").alias("least"), F.max("p").alias("top"))
+            below = large.where((F.col("n") > leaf_size) & (F.col("top") > F.col("least"))).select("tree", "node")
             break
-        found = {(r["tree"], r["node"]): r["threshold"] for r in large.collect()}  # at most trees * 2^depth
+        found = medians(lowest, leaf_size)  # at most trees * 2^depth
         if not found:
             break
         thresholds |= found
@@ -122,7 +145,7 @@ def build(docs: DataFrame, trees: int = TREES, leaf_size: int = LEAF, seed: int
             own = np.flatnonzero(at == node)
             p = projections(v[own], tree, at[own], seed)
             cut = np.sort(p)[(len(p) - 1) // 2]
-            if len(own) > leaf_size and p.max() > cut:
+            if len(own) > leaf_size and p.max() > cut and (levels is None or node.bit_length() <= levels):
                 at[own] = 2 * node + (p > cut)
                 cuts.append((None, tree, node, cut))
                 todo += [2 * node, 2 * node + 1]

@@ -2,6 +2,7 @@ import hashlib
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -9,6 +10,7 @@ from loomquery import cli, evaluation, scratch
 from loomquery.engine import SearchEngine, register, resolve, strategies
 from loomquery.functions import text as tx
 from loomquery.operators import bm25, cascade, held, knn, metrics, models, neural, projection, ranking, rptree, tfidf, vector_index
+from loomquery.plans import registry
 from loomquery.server import App
 from loomquery.sources import corpus as io
 from loomquery.sources import synthetic, vector_store
@@ -312,6 +314,35 @@ def test_tree_recall_grows_with_the_candidates(spark):
     spark.catalog.clearCache()
 
 
+@pytest.mark.parametrize("case", ["distinct", "copies", "equal", "one", "none"])
+def test_median_split_equals_its_sql(spark, tmp_path, monkeypatch, case):
+    monkeypatch.setattr(rptree, "ACCURACY", 100)  # as many rows beyond it as a million beyond the real one
+    m = np.random.default_rng(9).standard_normal((2001, 8)).astype("float32")
+    m = {"distinct": m, "copies": np.concatenate([m[:300], *[m[300:303]] * 500]), "equal": m[[0] * 300], "one": m[:1], "none": m[:0]}[case]
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(9000, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {tuple(r) for r in registry.QUERIES["median_split"](spark, str(tmp_path)).select("index", "tree", "node").collect()}
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == set(con.sql(registry.ORACLE_SQL["median_split"]).fetchall()) and len(got) == 2 * len(m)
+
+
+def test_rptree_medians_are_exact_and_levels_bounded(spark, monkeypatch):
+    monkeypatch.setattr(rptree, "ACCURACY", 100)
+    p = np.random.default_rng(4).standard_normal(6000).round(2)  # many ties
+    rows = [(0, 2 + i % 2 * (i % 7), float(x)) for i, x in enumerate(p)]
+    want = {}
+    for node in {r[1] for r in rows}:
+        own = sorted(r[2] for r in rows if r[1] == node)
+        want[0, node] = own[(len(own) - 1) // 2]
+    assert rptree.medians(spark.createDataFrame(rows, "tree int, node long, p double"), 10) == want
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(4).standard_normal((400, 8)))], "index long, v array<double>")
+    for top in (1, 16):
+        monkeypatch.setattr(rptree, "TOP_LEVELS", top)
+        assign, inner = rptree.build(docs, trees=2, leaf_size=1, levels=3)
+        assert {r["node"] for r in assign.collect()} == set(range(8, 16)) and inner.count() == 14
+
+
 def test_vector_index_recall_and_exactness(spark, tmp_path):
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((30, 16)) * 2
