@@ -97,14 +97,16 @@ def medians(placed: DataFrame, leaf_size: int) -> dict[tuple[int, int], float]:
         tops |= {(r["tree"], r["node"]): r["top"] for r in nodes}
         out |= {(r["tree"], r["node"]): r["near"][1] for r in nodes if 2 * r["n"] < ACCURACY}
         wide = [(r["tree"], r["node"], (r["n"] - 1) // 2, r["near"][0], r["near"][2]) for r in nodes if (r["tree"], r["node"]) not in out]
-        if not wide:
+        if wide:
+            ranges = spark.createDataFrame(wide, "tree int, node long, place long, low double, high double")
+            value = F.when(F.col("p") >= F.col("low"), F.col("p")).alias("value")  # null, the first in order, for all below
+            counted = placed.join(F.broadcast(ranges), ["tree", "node"]).where("p <= high").groupBy("tree", "node", "place", value).agg(F.count(F.lit(1)).alias("n"))
+            order = Window.partitionBy("tree", "node").orderBy("value")  # less than a thousandth of a node's rows
+            upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            first = counted.withColumn("upto", upto).where("upto > place").groupBy("tree", "node").agg(F.min_by("value", "upto").alias("value"))
+            out |= {(r["tree"], r["node"]): r["value"] for r in first.collect() if r["value"] is not None}
+        if out.keys() == tops.keys():
             return {k: x for k, x in out.items() if tops[k] > x}
-        ranges = spark.createDataFrame(wide, "tree int, node long, place long, low double, high double")
-        value = F.when(F.col("p") >= F.col("low"), F.col("p")).alias("value")  # null, the first in order, for all below
-        counted = placed.join(F.broadcast(ranges), ["tree", "node"]).where("p <= high").groupBy("tree", "node", "place", value).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("tree", "node").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))  # some thousandths of a node's rows
-        first = counted.withColumn("upto", upto).where("upto > place").groupBy("tree", "node").agg(F.min_by("value", "upto").alias("value"))
-        out |= {(r["tree"], r["node"]): r["value"] for r in first.collect() if r["value"] is not None}
         spread *= 8  # for a range that missed its median
 
 
